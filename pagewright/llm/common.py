@@ -80,7 +80,7 @@ def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
         return np.empty(0, np.uint64)
     d = words.dictionary_encode()
     h = xxhash.xxh3_64_intdigest
-    each = np.fromiter((h(w, seed) for w in d.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(d.dictionary))
+    each = np.fromiter((h(w, seed) for w in d.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), np.uint64, len(d.dictionary))
     return each[np.asarray(d.indices)]
 
 
