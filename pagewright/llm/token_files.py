@@ -28,7 +28,7 @@ BLOCK = 1024
 #: The width holds this share of a block's values; the rest are exceptions.
 SHARE = 0.95
 #: Ids of one file at most, so that a file always fits one row and one task.
-FILE_IDS = 6_000_000
+FILE_IDS = 2_000_000
 _HEAD = struct.Struct("<4sIQII")
 
 
