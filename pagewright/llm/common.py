@@ -56,16 +56,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
-    r"""Words ``[^\x20\x09-\x0D]+`` of each text: all words in one array, and where each text's words start.
+def compact(texts: pa.Array | pa.ChunkedArray, table: np.ndarray | None = None) -> pa.Array:
+    """The texts as a large_string array whose buffers begin at 0, null as empty; ``table`` maps every byte.
 
-    A null text has no words. ``lower`` lower-cases A-Z only.
+    Some Arrow kernels read a slice's cast from its parent's start, so slices are rebuilt first.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
+    plain = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, data = plain.buffers()
+    if not len(plain) or data is None:
+        return pa.array([""] * len(plain), pa.large_string())
+    bounds = np.frombuffer(offsets, np.int64)[plain.offset : plain.offset + len(plain) + 1]
+    body = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+    body = body.copy() if table is None else table[body]
+    return pa.LargeStringArray.from_buffers(len(plain), pa.py_buffer(bounds - bounds[0]), pa.py_buffer(body))
+
+
+#: A-Z to a-z, every other byte as it is.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def cut_at_space(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of compact texts, and where each text's words start."""
     parts = pc.ascii_split_whitespace(texts)
     words = parts.flatten()
     bounds = np.asarray(parts.offsets) - parts.offsets[0].as_py()
@@ -74,6 +88,14 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
     return words.filter(full), kept[bounds].astype(np.int64)
 
 
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    r"""Words ``[^\x20\x09-\x0D]+`` of each text: all words in one array, and where each text's words start.
+
+    A null text has no words. ``lower`` lower-cases A-Z only.
+    """
+    return cut_at_space(compact(texts, _LOWER if lower else None))
+
+
 def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each word; each distinct word of the array is hashed once."""
     if not len(words):

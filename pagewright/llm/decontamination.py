@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import steps
+from pagewright.llm.common import compact, cut_at_space, steps
 
 WINDOW = 13
 #: Text bytes of one automaton: some tens of MB once built, whatever the benchmark's size.
@@ -33,17 +33,7 @@ for _b in range(65, 91):
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of each lower-cased (A-Z) text and where each text's words start. A null text has none."""
-    plain = texts.cast(pa.large_string()).fill_null("")
-    _, offsets, data = plain.buffers()
-    if data is not None:
-        data = pa.py_buffer(_BYTES[np.frombuffer(data, np.uint8)])
-    plain = pa.LargeStringArray.from_buffers(len(plain), offsets, data, offset=plain.offset) if data is not None else plain
-    parts = pc.ascii_split_whitespace(plain)
-    words = parts.flatten()
-    bounds = np.asarray(parts.offsets) - parts.offsets[0].as_py()
-    full = pc.greater(pc.binary_length(words), 0)
-    kept = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
-    return words.filter(full), kept[bounds].astype(np.int64)
+    return cut_at_space(compact(texts, _BYTES))
 
 
 class Automaton:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from pagewright.llm.common import environment
+from pagewright.llm.common import compact, environment
 
 #: White space as the tokenizers' pattern has it (Unicode White_Space). Fixed values.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -136,9 +136,7 @@ class UnitEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's ids start (one entry more than texts). Null counts as empty."""
-        if isinstance(texts, pa.ChunkedArray):
-            texts = texts.combine_chunks()
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = compact(texts)
         if not self.by_units:
             return self._gather(self._plain(texts.to_pylist()))
         cut = pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", pa.large_string()))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagewright.llm.common import gram_hashes, mix, split_words, steps, word_hashes
+from pagewright.llm.common import compact, gram_hashes, mix, split_words, steps, word_hashes
 
 #: Counted characters. Fixed values.
 SYMBOLS = b"#*$%&|<>"
@@ -53,12 +53,10 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     words, starts = split_words(texts)
     hashes = word_hashes(words)
     out = {"n_words": np.diff(starts)}
-    plain = texts.cast(pa.large_string()).fill_null("")
+    plain = compact(texts)
     _, offsets, data = plain.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[plain.offset : plain.offset + len(plain) + 1]
-    low = int(bounds[0])
-    chars = np.frombuffer(data, np.uint8)[low : int(bounds[-1])] if data else np.empty(0, np.uint8)
-    bounds = bounds - low
+    bounds = np.frombuffer(offsets, np.int64)[: len(plain) + 1]
+    chars = np.frombuffer(data, np.uint8)[: int(bounds[-1])] if bounds[-1] else np.empty(0, np.uint8)
     space = np.zeros(256, bool)
     space[[32, *range(9, 14)]] = True
     points = (chars & 0xC0) != 0x80
