@@ -11,6 +11,7 @@ from pagewright.llm.jaccard_join import similar_documents
 from pagewright.llm.packing import pack_documents
 from pagewright.llm.quality_model import score_quality
 from pagewright.llm.quality_rules import judge_quality
+from pagewright.llm.substring_dedup import drop_repeats
 from pagewright.llm.token_counts import count_tokens
 from pagewright.llm.token_files import token_file_digest
 from pagewright.llm.url_filter import judge_urls
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_benchmark_decontamination": lambda s, d: find_contamination(_table(s, d, "documents"), _table(s, d, "benchmark")),
         "op8_quality_rules": lambda s, d: judge_quality(_table(s, d, "documents"), _table(s, d, "labels")),
         "op9_token_files": lambda s, d: token_file_digest(_table(s, d, "documents")),
+        "op10_substring_dedup": lambda s, d: drop_repeats(_table(s, d, "documents")),
     }
 
 
