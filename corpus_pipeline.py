@@ -1 +1,90 @@
-STAGES = []
+"""A corpus pipeline of five operators. Each stage works on all that the one before kept."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.llm.common import shared_dir
+from pagewright.llm.decontamination import find_contamination
+from pagewright.llm.jaccard_join import similar_documents
+from pagewright.llm.packing import pack_documents
+from pagewright.llm.quality_rules import judge_quality
+from pagewright.llm.substring_dedup import drop_repeats
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _row(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text_key", F.xxhash64("text"))
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the learned list rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rejected = judge_quality(docs, labels).filter("not kept").select(F.col("doc_id").alias("own_id"), F.lit(True).alias("gone")).distinct()
+    out = docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["own_id"]), "left_anti")
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays: that with the smallest doc_id; of rows that repeat this id, that with the least hash of its text."""
+    judged = similar_documents(docs)
+    first = judged.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"), F.count("*").alias("rows"))
+    kept = first.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), F.col("rows") > 1)
+    keyed = _row(docs)
+    kept = kept.withColumnsRenamed({"doc_id": "own_id", "text_key": "own_key"})
+    out = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["own_id"]) & (keyed["text_key"] == kept["own_key"]), "left_semi")
+    return out.dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of repeated passages go, and documents of which nothing is left; other documents stay as they are."""
+    judged = drop_repeats(docs, with_text=True).filter("n_removed > 0").select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "kept_text").distinct()
+    keyed = _row(docs)
+    joined = keyed.join(judged, keyed["doc_id"].eqNullSafe(judged["own_id"]) & (keyed["text_key"] == judged["own_key"]), "left")
+    text = F.coalesce("kept_text", "text")
+    changed = {"text": text} | ({"n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    return joined.filter("kept_text is null or kept_text <> ''").withColumns(changed).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the contamination rule finds go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = find_contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("own_id")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["own_id"]), "left_anti").select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Learned rules and tokenizers are beyond SQL; the stages are tested against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to the documents; each stage but the last is written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = shared_dir(spark, f"stage-{name}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
