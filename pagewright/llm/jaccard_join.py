@@ -3,8 +3,8 @@
 A document is its set of distinct word n-grams. Texts with equal sets are one node. Grams are ordered rare
 first by a counter table of fixed size over the whole corpus, so two nodes can only link if they share one of
 their first ``n - ceil(t n) + 1`` grams. A group of nodes with a common prefix gram is not paired
-with itself: first every node meets the group's smallest node only; a second join is left with groups whose
-nodes are still in different stars, and with their pairs across stars. Length and positional filters cut
+with itself: first every node meets one group's smallest node, that with which it shares most prefix grams; a
+second join is left with groups whose nodes are still in different stars, and with their pairs across stars. Length and positional filters cut
 candidates before any text moves, the suffix filter before sets are intersected.
 """
 
@@ -27,6 +27,10 @@ WORDS = 5
 PERCENT = 80
 #: Counters of the rarity table: 512 KB for any corpus.
 COUNTERS = 1 << 17
+#: Partners of one node that one task verifies (in the mean); a node with more is salted.
+PARTNERS = 2_000
+#: Bits of the bitmap that keeps documents without candidates out of a shuffle: 4 MB at most.
+MOST_BITS = 1 << 25
 #: Nodes whose 64-bit name is shared by two sets; expected none below 10^9 documents, some dozens at 3 * 10^10.
 MOST_COLLIDED = 100_000
 
@@ -189,25 +193,57 @@ def _possible(a: Column, b: Column, percent: int) -> Column:
     return (percent * F.greatest(na, nb) <= 100 * F.least(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
 
 
+def _may_hold(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of bounded size that has a bit for every key: false positives only, more of them as it fills."""
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * keys.count()).bit_length()))
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(1 << 16, bool)
+        part[pdf["at"].to_numpy() & 0xFFFF] = True
+        return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(part, bitorder="little").tobytes()]})
+
+    out = np.zeros(bits >> 3, np.uint8)
+    for row in keys.select(at.alias("at")).distinct().groupBy(F.shiftright("at", 16).alias("part")).applyInPandas(fill, "part long, bits binary").collect():
+        out[row.part << 13 : (row.part + 1) << 13] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar; each pair once. A node's text comes from its first document."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
-    source = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
-    match = source.join(keys, (source["key"] == keys["text_key"]) & source["id"].eqNullSafe(keys["doc_id"]))
-    texts = match.groupBy("key", "id", "node").agg(F.first("text").alias("text")).select("node", "text")
-    texts = save(texts, "texts")
-    full = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs ``(a, b)`` whose sets are similar; each pair once.
+
+    ``a``'s text goes to one task (or, with many partners, to so many salted ones) and the partners' texts stream past it there.
+    A node's text comes from its first document; a bitmap keeps most other documents out of the shuffle.
+    """
+    hubs = pairs.groupBy("a").agg((F.floor(F.count("*") / PARTNERS) + 1).alias("salts"))
+    partners = pairs.join(hubs, "a").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.lit(True).alias("partner"))
+    own = hubs.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("partner"))
+    sent = save(partners.unionByName(own).join(nodes, "node").select("node", "hub", "salt", "partner", F.col("first.doc_id").alias("own_id"), F.col("first.text_key").alias("own_key")), "sent")
+    bitmap = docs.sparkSession.sparkContext.broadcast(_may_hold(sent.select("own_key").distinct(), "own_key"))
+
+    @F.pandas_udf("boolean")
+    def wanted(at: pd.Series) -> pd.Series:
+        x, table = at.to_numpy(), bitmap.value
+        return pd.Series((table[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
+
+    bits = len(bitmap.value) * 8
+    source = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text").filter(wanted(F.pmod(F.xxhash64("key"), F.lit(bits))))
+    match = source.join(sent, (source["key"] == sent["own_key"]) & source["id"].eqNullSafe(sent["own_id"])).select("hub", "salt", "partner", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for some in steps([whole], "text_a", 4 << 20):
-                for b in steps([some], "text_b", 4 << 20):
-                    left, right = gram_sets(b.column("text_a")), gram_sets(b.column("text_b"))
-                    good = pa.array([similar(x, y, percent) for x, y in zip(left, right, strict=True)], pa.bool_())
-                    yield pa.RecordBatch.from_arrays([b.column("a").filter(good), b.column("b").filter(good)], ["a", "b"])
+        hub, current = None, None
+        for b in steps(batches, "text"):
+            good: list[tuple[int, int]] = []
+            for h, partner, node, grams in zip(b.column("hub").to_pylist(), b.column("partner").to_pylist(), b.column("node").to_pylist(), gram_sets(b.column("text")), strict=True):
+                if not partner:
+                    hub, current = h, grams
+                elif h == hub and similar(current, grams, percent):
+                    good.append((h, node))
+            if good:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good, strict=True)], ["a", "b"])
 
-    return save(full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+    dealt = match.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "partner", "node")
+    return save(dealt.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -244,7 +280,9 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     shared = _shared(_postings(docs, _rarity(scan), collided, percent))
     stars = shared.filter(F.col("node") != F.col("hub")).filter(_possible(F.col("size_at"), F.col("hub_size_at"), percent))
-    tried = save(_pairs(stars.select(F.col("node").alias("x"), F.col("hub").alias("y"))), "pairs")
+    best = F.max(F.struct("grams", "hub"))
+    tried = stars.groupBy("node", "hub").agg(F.count("*").alias("grams")).groupBy("node").agg(best.alias("best"))
+    tried = save(tried.select(F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b")), "pairs")
     links = _verified(tried, nodes, docs, percent)
 
     near = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("star"))
@@ -252,9 +290,9 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     star = save(near.join(up, "star", "left").select("node", F.coalesce("upper", "star").alias("star")), "stars")
     known = shared.join(star, "node", "left").withColumn("star", F.coalesce("star", "node"))
     open_grams = known.groupBy("gram").agg(F.min("star").alias("lo"), F.max("star").alias("hi")).filter("lo <> hi").select("gram")
-    left = save(known.join(open_grams, "gram", "left_semi").select("gram", "node", "size_at", "hub", "star"), "open-grams")
+    left = save(known.join(open_grams, "gram", "left_semi").select("gram", "node", "size_at", "star"), "open-grams")
     one, two = left.alias("one"), left.alias("two")
-    across = (F.col("one.node") < F.col("two.node")) & (F.col("one.star") != F.col("two.star")) & (F.col("one.node") != F.col("one.hub")) & _possible(F.col("one.size_at"), F.col("two.size_at"), percent)
+    across = (F.col("one.node") < F.col("two.node")) & (F.col("one.star") != F.col("two.star")) & _possible(F.col("one.size_at"), F.col("two.size_at"), percent)
     more = one.join(two, (F.col("one.gram") == F.col("two.gram")) & across).select(F.col("one.node").alias("x"), F.col("two.node").alias("y"))
     untried = save(_pairs(more).join(tried, ["a", "b"], "left_anti"), "pairs")
     if untried.take(1):
