@@ -34,6 +34,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, rows: int, key: str = "doc_id", salt: int = 0) -> DataFrame:
+    """All rows, or where there are more, those with the least hashes of ``key``: about ``rows`` in the mean, whatever the size.
+
+    The cut is on the hash, so each partition decides alone and only the sample moves; rows with one key stay together.
+    """
+    count = df.count()
+    if count <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1 << 31)) < int((1 << 31) * rows / count))
+
+
 def steps(batches: Iterable[pa.RecordBatch], column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``most`` bytes in each (one row at least)."""
     for b in batches:

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import split_words, steps, word_hashes
+from pagewright.llm.common import hash_sample, split_words, steps, word_hashes
 from pagewright.llm.text_stats import text_counts
 
-#: Trusted positives and unlabelled texts that the model is fitted on at most (chosen by a hash of doc_id).
+#: Trusted positives and unlabelled texts that the model is fitted on in the mean (chosen by a hash of doc_id).
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 5_000, 5_000
 #: Buckets of hashed words.
 WORD_BUCKETS = 256
@@ -91,10 +91,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_positive: int = SAM
     taught = labels.filter("quality is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     shares = taught.agg(F.avg((F.col("quality") >= 1).cast("double")).alias("p")).first()
     prior = min(0.99, max(0.01, shares["p"] if shares["p"] is not None else 0.5))
-    by_hash = F.xxhash64("doc_id", F.lit(6))
-    chosen_p = taught.filter("quality >= 1").orderBy(by_hash, "doc_id").limit(sample_positive).select("doc_id", F.lit(True).alias("trusted"))
+    chosen_p = hash_sample(taught.filter("quality >= 1"), sample_positive, salt=6).select("doc_id", F.lit(True).alias("trusted"))
     ids = docs.select("doc_id").filter(~held_out() & F.col("doc_id").isNotNull()).distinct()
-    chosen_u = ids.orderBy(by_hash, "doc_id").limit(sample_unlabelled).select("doc_id", F.lit(False).alias("trusted"))
+    chosen_u = hash_sample(ids, sample_unlabelled, salt=7).select("doc_id", F.lit(False).alias("trusted"))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen_p.unionByName(chosen_u)), "doc_id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import save
+from pagewright.llm.common import hash_sample, save
 from pagewright.llm.text_stats import BASE, with_text_counts
 
 #: Ratios that rules may test: name, numerator, denominator.
@@ -25,7 +25,7 @@ RATIOS = [
     ("repeat_share", "n_repeat_words", "n_words"),
     ("distinct_share", "n_distinct", "n_words"),
 ]
-#: Labelled rows that a list is learned from at most (chosen by a hash of doc_id).
+#: Labelled rows that a list is learned from in the mean (chosen by a hash of doc_id).
 SAMPLE_ROWS = 20_000
 #: A rule must be right for this share of the rows it covers, in the growing and in the pruning part, and cover so many.
 PRECISION, SUPPORT = 0.9, 8
@@ -123,13 +123,14 @@ def judge_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     """Base counts, ``base_failed`` and ``kept`` of every document, one row for each row of ``docs``.
 
     One pass over the whole texts gives narrow counts, which are saved; the labels join these, never the
-    texts. The list is learned on the driver from ``sample_rows`` labelled rows at most and applied as an
+    texts. The list is learned on the driver from about ``sample_rows`` labelled rows and applied as an
     expression. Null or empty texts have no words, so the base rule fails them. Null ids and labels
     without a class teach nothing; without labels only the base rule counts. Other columns are not read.
     """
     counts = ratios(save(with_text_counts(docs), "text-counts"))
     taught = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = counts.join(taught, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "word_chars").limit(sample_rows).select("doc_id", (F.col("quality") < 1).alias("bad"), *[r[0] for r in RATIOS]).toPandas()
+    sample = hash_sample(taught, sample_rows)
+    rows = counts.join(sample, "doc_id").select("doc_id", F.xxhash64("doc_id").alias("turn"), (F.col("quality") < 1).alias("bad"), *[r[0] for r in RATIOS]).toPandas().sort_values(["turn", "doc_id", "word_length"]).reset_index(drop=True)
     verdict = as_expression(learn_list(rows))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counts.withColumn("base_failed", failed).select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & verdict).alias("kept"))
