@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.plans import search
+from pagewright.plans import pages, search
 
-_MODULES = (search,)
+_MODULES = (search, pages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
