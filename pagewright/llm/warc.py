@@ -63,16 +63,19 @@ def records_of(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Write ``path/headers`` (a row for each record) and ``path/payloads`` (a row for each distinct payload).
 
-    Headers move as narrow rows. Payloads: each map task drops the copies it sees by the aggregate of narrow keys, and
-    the one page that holds a payload for the archive is found by joining on (page_id, SHA-256).
+    Headers move as narrow rows. The one page that holds a payload for the archive is found by joining on (page_id,
+    SHA-256); only if rows repeat such a page do payloads move once more to drop the repeats.
     """
     headers = records_of(pages, least_bytes)
     headers.write.parquet(f"{path}/headers")
-    kept = pages.sparkSession.read.parquet(f"{path}/headers").filter("record_type = 'response'").groupBy("sha256").agg(F.max("page_id").alias("page_id"))
+    written = pages.sparkSession.read.parquet(f"{path}/headers")
+    kept = written.filter("record_type = 'response'").groupBy("sha256").agg(F.max("page_id").alias("page_id"))
     data = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select(F.col("page_id").alias("own"), data.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
     one = own.join(kept, (own["sha256"] == kept["sha256"]) & own["own"].eqNullSafe(kept["page_id"]), "left_semi")
-    one.dropDuplicates(["sha256"]).select("sha256", "payload").write.parquet(f"{path}/payloads")
+    if written.filter(F.col("record_type") == "revisit").filter(F.col("page_id").eqNullSafe(F.col("refers_to"))).take(1):
+        one = one.dropDuplicates(["sha256"])  # rows that repeat a response's id and payload
+    one.select("sha256", "payload").write.parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
