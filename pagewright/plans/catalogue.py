@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.plans import pages, search
+from pagewright.plans import evaluation, pages, search
 
-_MODULES = (search, pages)
+_MODULES = (search, pages, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
