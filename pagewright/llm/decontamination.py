@@ -176,11 +176,11 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES, window: int =
         yield Automaton([(i, words[a:b]) for i, a, b in zip(block["item_id"], starts[:-1].tolist(), starts[1:].tolist(), strict=True)], window)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, with_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, with_text: bool = False, with_key: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``n_words, n_hit, n_items, items_sha256, contaminated`` of every document, one row for each row of ``docs``; no shuffle.
 
     A document is contaminated where ``n_hit`` is above 0 and at least one ``share``-th of its words. ``with_text`` adds
-    ``kept_text``, the words that are not hit joined by blanks (null where nothing is hit). Null texts have no
+    ``kept_text``, the words that are not hit joined by blanks (null where nothing is hit), ``with_key`` a hash of the text. Null texts have no
     words; items without words match nothing; a null item_id counts as ``null``; equal item_ids count once.
     """
     sc = docs.sparkSession.sparkContext
@@ -215,7 +215,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                 left = [" ".join(words.slice(s, e - s).filter(pa.array(~covered[s:e])).to_pylist()) if h else None for s, e, h in zip(starts[:-1].tolist(), starts[1:].tolist(), n_hit.tolist(), strict=True)]
                 cols.append(pa.array(left, pa.string()))
                 names.append("kept_text")
+            if with_key:
+                cols.append(b.column("text_key"))
+                names.append("text_key")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string" + ", kept_text string" * with_text)
+    out = docs.select("doc_id", "text", *[F.xxhash64("text").alias("text_key")] * with_key).mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string" + ", kept_text string" * with_text + ", text_key long" * with_key)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

@@ -99,7 +99,7 @@ def pack(pieces: DataFrame, size: int = 2048, part_pieces: int = PART_PIECES, ro
 
     Pieces are dealt to partitions of bounded size by a hash, and best-fit decreasing packs each. A
     dual-feasible lower bound certifies a partition whose bins it equals. Others release their
-    emptiest bins, as many as have the surplus as room; the released documents of all partitions are dealt
+    emptiest bins, as many as have twice the surplus as room; the released documents of all partitions are dealt
     anew to as few partitions as hold them and packed again, and the new packing stays where it
     needs fewer bins. This goes on until no partition has a gap, one partition held all, or ``rounds`` are over.
     Only narrow rows move; no partition depends on the corpus size. An empty table gives no rows.
@@ -123,8 +123,8 @@ def pack(pieces: DataFrame, size: int = 2048, part_pieces: int = PART_PIECES, ro
         pdf["sequence_id"], pdf["offset"], pdf["release"] = ids, offsets, False
         if made > bound:
             room = (size - pdf.groupby("sequence_id")["length"].sum()).sort_values(ascending=False, kind="stable")
-            enough = int(np.searchsorted(np.cumsum(room.to_numpy()), size * (made - bound))) + 1
-            pdf["release"] = pdf["sequence_id"].isin(room.index[: max(2, enough)])
+            enough = int(np.searchsorted(np.cumsum(room.to_numpy()), 2 * size * (made - bound))) + 1
+            pdf["release"] = pdf["sequence_id"].isin(room.index[: max(2, min(enough, int((room > 0).sum())))])
         return pdf[[f.name for f in schema]]
 
     def packer(turn: int):

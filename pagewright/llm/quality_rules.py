@@ -119,8 +119,8 @@ def as_expression(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(True))
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Base counts, ``base_failed`` and ``kept`` of every document, one row for each row of ``docs``.
+def judge_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, with_key: bool = False) -> DataFrame:
+    """Base counts, ``base_failed`` and ``kept`` of every document, one row for each row of ``docs``; ``with_key`` adds a hash of the text.
 
     One pass over the whole texts gives narrow counts, which are saved; the labels join these, never the
     texts. The list is learned on the driver from about ``sample_rows`` labelled rows and applied as an
@@ -133,4 +133,4 @@ def judge_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     rows = counts.join(sample, "doc_id").select("doc_id", F.xxhash64("doc_id").alias("turn"), (F.col("quality") < 1).alias("bad"), *[r[0] for r in RATIOS]).toPandas().sort_values(["turn", "doc_id", "word_length"]).reset_index(drop=True)
     verdict = as_expression(learn_list(rows))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return counts.withColumn("base_failed", failed).select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & verdict).alias("kept"))
+    return counts.withColumn("base_failed", failed).select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & verdict).alias("kept"), *["text_key"] * with_key)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagewright.llm.common import compact, gram_hashes, mix, split_words, steps, word_hashes
 
@@ -83,12 +84,12 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def with_text_counts(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the counts of each whole text, one row for each row; no shuffle, bounded batches."""
+    """``doc_id``, ``text_key`` and the counts of each whole text, one row for each row; no shuffle, bounded batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
             found = text_counts(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(found[c], pa.int64()) for c in NAMES)], ["doc_id", *NAMES])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *(pa.array(found[c], pa.int64()) for c in NAMES)], ["doc_id", "text_key", *NAMES])
 
-    narrow = docs.select("doc_id", "text")
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in NAMES))
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, text_key long, " + ", ".join(f"{c} long" for c in NAMES))

@@ -73,7 +73,7 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     data = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select(F.col("page_id").alias("own"), data.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
     one = own.join(kept, (own["sha256"] == kept["sha256"]) & own["own"].eqNullSafe(kept["page_id"]), "left_semi")
-    if written.filter(F.col("record_type") == "revisit").filter(F.col("page_id").eqNullSafe(F.col("refers_to"))).take(1):
+    if least_bytes or written.filter(F.col("record_type") == "revisit").filter(F.col("page_id").eqNullSafe(F.col("refers_to"))).take(1):
         one = one.dropDuplicates(["sha256"])  # rows that repeat a response's id and payload
     one.select("sha256", "payload").write.parquet(f"{path}/payloads")
 
