@@ -17,48 +17,61 @@ from pagewright.llm.substring_dedup import drop_repeats
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _row(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text_key", F.xxhash64("text"))
+#: Names that the stages add for a while; the table's own columns keep theirs.
+ID, KEY, TEXT = "_pipeline_id", "_pipeline_key", "_pipeline_text"
 
 
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64("text"))
+
+
+def _named(judged: DataFrame) -> DataFrame:
+    """A judgement's row names, apart from the table's columns."""
+    return judged.withColumnsRenamed({"doc_id": ID, "text_key": f"{KEY}_of"})
+
+
+def _same() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col(ID)) & (F.col(KEY) == F.col(f"{KEY}_of"))
+
+
+def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    return _keyed(docs).join(_named(judged.select("doc_id", "text_key").distinct()), _same(), "left_anti").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the learned list rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rejected = judge_quality(docs, labels).filter("not kept").select(F.col("doc_id").alias("own_id"), F.lit(True).alias("gone")).distinct()
-    out = docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["own_id"]), "left_anti")
-    return out.select(*docs.columns)
+    return _without(docs, judge_quality(docs, labels, with_key=True).filter("not kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays: that with the smallest doc_id; of rows that repeat this id, that with the least hash of its text."""
+    """One document of each group of linked documents stays: that with the smallest doc_id.
+
+    Of rows that repeat this id, that with the least hash of its text stays; rows that repeat both count once.
+    """
     judged = similar_documents(docs)
-    first = judged.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"), F.count("*").alias("rows"))
-    kept = first.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), F.col("rows") > 1)
-    keyed = _row(docs)
-    kept = kept.withColumnsRenamed({"doc_id": "own_id", "text_key": "own_key"})
-    out = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["own_id"]) & (keyed["text_key"] == kept["own_key"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
+    first = judged.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_key")).alias("first"))
+    kept = first.select("first.doc_id", "first.text_key")
+    out = _keyed(docs).join(_named(kept), _same(), "left_semi")
+    if judged.groupBy("doc_id", "text_key").count().filter("count > 1").take(1):
+        out = out.dropDuplicates(["doc_id", KEY])
+    return out.select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages go, and documents of which nothing is left; other documents stay as they are."""
-    judged = drop_repeats(docs, with_text=True).filter("n_removed > 0").select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "kept_text").distinct()
-    keyed = _row(docs)
-    joined = keyed.join(judged, keyed["doc_id"].eqNullSafe(judged["own_id"]) & (keyed["text_key"] == judged["own_key"]), "left")
-    text = F.coalesce("kept_text", "text")
-    changed = {"text": text} | ({"n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
-    return joined.filter("kept_text is null or kept_text <> ''").withColumns(changed).select(*docs.columns)
+    judged = drop_repeats(docs, with_text=True).filter("n_removed > 0").select("doc_id", "text_key", F.col("kept_text").alias(TEXT)).distinct()
+    joined = _keyed(docs).join(_named(judged), _same(), "left").filter(F.col(TEXT).isNull() | (F.col(TEXT) != ""))
+    changed = {"text": F.coalesce(TEXT, "text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col(TEXT).isNull(), F.col("n_chars")).otherwise(F.length(TEXT)).cast(docs.schema["n_chars"].dataType)
+    return joined.withColumns(changed).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule finds go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = find_contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("own_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["own_id"]), "left_anti").select(*docs.columns)
+    return _without(docs, find_contamination(docs, items, with_key=True).filter("contaminated"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
