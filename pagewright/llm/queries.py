@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagewright.llm import oracles
 from pagewright.llm.decontamination import find_contamination
 from pagewright.llm.jaccard_join import similar_documents
 from pagewright.llm.packing import pack_documents
@@ -25,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": lambda s, d: judge_urls(_table(s, d, "pages")),
-        "op2_ngram_jaccard_join": lambda s, d: similar_documents(_table(s, d, "documents")),
+        "op2_ngram_jaccard_join": lambda s, d: similar_documents(_table(s, d, "documents")).drop("text_key"),
         "op3_best_fit_packing": lambda s, d: pack_documents(_table(s, d, "documents")),
         "op4_token_counts": lambda s, d: count_tokens(_table(s, d, "documents")),
         "op5_warc_archive": lambda s, d: archive_digest(_table(s, d, "pages")),
@@ -38,4 +39,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_ngram_jaccard_join": oracles.JACCARD_JOIN,
+        "op7_benchmark_decontamination": oracles.DECONTAMINATION,
+        "op10_substring_dedup": oracles.SUBSTRING_DEDUP,
+    }
