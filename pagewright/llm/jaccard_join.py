@@ -3,13 +3,14 @@
 A document is its set of distinct word n-grams. Texts with equal sets are one node. Grams are ordered rare
 first by a counter table of fixed size over the whole corpus, so two nodes can only link if they share one of
 their first ``n - ceil(t n) + 1`` grams. A group of nodes with a common prefix gram is not paired
-with itself: first every node meets one group's smallest node, that with which it shares most prefix grams; a
-second join is left with groups whose nodes are still in different stars, and with their pairs across stars. Length and positional filters cut
+with itself: in rounds, every node tries one group's hub, that with which it shares most prefix grams, and links
+merge components; the last join is left with groups that still hold several components, and with pairs across these. Length and positional filters cut
 candidates before any text moves, the suffix filter before sets are intersected.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,10 @@ from pagewright.llm.graph import components
 WORDS = 5
 #: The threshold as a whole percentage.
 PERCENT = 80
-#: Counters of the rarity table: 512 KB for any corpus.
-COUNTERS = 1 << 17
+#: Counters of the rarity table: 4 MB for any corpus.
+COUNTERS = 1 << 20
+#: Rounds in which every node of a group that is still in several components tries one hub, before what is left is paired.
+STAR_ROUNDS = 3
 #: Partners of one node that one task verifies (in the mean); a node with more is salted.
 PARTNERS = 2_000
 #: Bits of the bitmap that keeps documents without candidates out of a shuffle: 4 MB at most.
@@ -60,7 +63,7 @@ def names_of(grams: np.ndarray) -> tuple[int, int]:
 
 def rare_first(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Grams renamed so that their numerical order is rare first: class of rarity, then hash."""
-    return np.sort((classes[(grams >> np.uint64(47)).astype(np.int64)] << np.uint64(56)) | (grams & np.uint64((1 << 56) - 1)))
+    return np.sort((classes[(grams >> np.uint64(44)).astype(np.int64)] << np.uint64(56)) | (grams & np.uint64((1 << 56) - 1)))
 
 
 def needed_overlap(na: int, nb: int, percent: int = PERCENT) -> int:
@@ -95,13 +98,13 @@ def _scan(docs: DataFrame) -> DataFrame:
         for b in steps(batches, "text"):
             empty = False
             sets = gram_sets(b.column("text"))
-            counters += np.bincount((np.concatenate(sets) >> np.uint64(47)).astype(np.int64), minlength=COUNTERS)
+            counters += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
             names = [names_of(s) if len(s) else (None, None) for s in sets]
             m = len(sets)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()), pa.nulls(m, pa.binary())], ["doc_id", "text_key", "n_shingles", "name", "check", "counters"])
         if not empty:
             kind = b.schema.field("doc_id").type
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([np.minimum(counters, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], ["doc_id", "text_key", "n_shingles", "name", "check", "counters"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([zlib.compress(np.minimum(counters, 2**32 - 1).astype("<u4").tobytes(), 1)], pa.binary())], ["doc_id", "text_key", "n_shingles", "name", "check", "counters"])
 
     narrow = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     kind = narrow.schema["doc_id"].dataType.simpleString()
@@ -112,12 +115,16 @@ def _rarity(scan: DataFrame) -> np.ndarray:
     """A class of rarity for each counter, monotone in the corpus count; tables are summed in groups before the driver sums these."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, "<u4") for x in pdf["counters"]], axis=0, dtype=np.int64)
-        return pd.DataFrame({"counters": [total.tobytes()]})
+        total = np.zeros(COUNTERS, np.int64)
+        for x in pdf["counters"]:
+            total += np.frombuffer(zlib.decompress(x), "<u4")
+        return pd.DataFrame({"counters": [zlib.compress(total.tobytes(), 1)]})
 
     parts = scan.filter("counters is not null").select("counters")
     some = parts.groupBy(F.pmod(F.xxhash64("counters"), F.lit(16)).alias("k")).applyInPandas(add, "counters binary").collect()
-    total = np.sum([np.frombuffer(x.counters, np.int64) for x in some], axis=0) if some else np.zeros(COUNTERS, np.int64)
+    total = np.zeros(COUNTERS, np.int64)
+    for x in some:
+        total += np.frombuffer(zlib.decompress(x.counters), np.int64)
     return np.minimum(255, np.floor(np.log2(total + 1) * 7)).astype(np.uint64)
 
 
@@ -246,11 +253,6 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     return save(dealt.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Each candidate pair once, whatever number of grams it shares."""
-    return rows.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("grams")).select("a", "b")
-
-
 def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document, one row for each row of ``docs``; also ``text_key``.
 
@@ -279,26 +281,41 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = save(rows.filter("node is not null").groupBy("node").agg(first), "nodes")
 
     shared = _shared(_postings(docs, _rarity(scan), collided, percent))
-    stars = shared.filter(F.col("node") != F.col("hub")).filter(_possible(F.col("size_at"), F.col("hub_size_at"), percent))
-    best = F.max(F.struct("grams", "hub"))
-    tried = stars.groupBy("node", "hub").agg(F.count("*").alias("grams")).groupBy("node").agg(best.alias("best"))
-    tried = save(tried.select(F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b")), "pairs")
-    links = _verified(tried, nodes, docs, percent)
-
-    near = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("star"))
-    up = near.select(F.col("node").alias("star"), F.col("star").alias("upper"))
-    star = save(near.join(up, "star", "left").select("node", F.coalesce("upper", "star").alias("star")), "stars")
-    known = shared.join(star, "node", "left").withColumn("star", F.coalesce("star", "node"))
-    open_grams = known.groupBy("gram").agg(F.min("star").alias("lo"), F.max("star").alias("hi")).filter("lo <> hi").select("gram")
-    left = save(known.join(open_grams, "gram", "left_semi").select("gram", "node", "size_at", "star"), "open-grams")
-    one, two = left.alias("one"), left.alias("two")
-    across = (F.col("one.node") < F.col("two.node")) & (F.col("one.star") != F.col("two.star")) & _possible(F.col("one.size_at"), F.col("two.size_at"), percent)
-    more = one.join(two, (F.col("one.gram") == F.col("two.gram")) & across).select(F.col("one.node").alias("x"), F.col("two.node").alias("y"))
-    untried = save(_pairs(more).join(tried, ["a", "b"], "left_anti"), "pairs")
-    if untried.take(1):
-        links = links.unionByName(_verified(untried, nodes, docs, percent))
-
-    roots = components(links) if links.take(1) else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    tried = links = roots = None
+    for turn in range(STAR_ROUNDS + 1):
+        if roots is None:
+            open_rows = shared
+        else:  # groups whose nodes are in one component have nothing left to find
+            known = shared.select("gram", "node", "size_at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            several = known.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("turn"), "root", "node", "size_at")).alias("first"))
+            several = several.filter("lo <> hi").select("gram", F.col("first.node").alias("hub"), F.col("first.size_at").alias("hub_size_at"), F.col("first.root").alias("hub_root"))
+            open_rows = save(known.join(several, "gram"), "open-grams")
+        if turn < STAR_ROUNDS:
+            apart = F.col("node") != F.col("hub") if roots is None else F.col("root") != F.col("hub_root")
+            near = open_rows.filter(apart).filter(_possible(F.col("size_at"), F.col("hub_size_at"), percent)).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "node")
+            near = near.groupBy("node", "a", "b").agg(F.count("*").alias("grams"))
+            if tried is not None:
+                near = near.join(tried, ["a", "b"], "left_anti")
+            best = near.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("grams", "a", "b")).alias("best"))
+            fresh = save(best.select("best.a", "best.b").distinct(), "pairs")
+        else:
+            one, two = open_rows.alias("one"), open_rows.alias("two")
+            across = (F.col("one.node") < F.col("two.node")) & (F.col("one.root") != F.col("two.root")) & _possible(F.col("one.size_at"), F.col("two.size_at"), percent)
+            more = one.join(two, (F.col("one.gram") == F.col("two.gram")) & across).select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
+            fresh = save(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not fresh.take(1):
+            if turn == STAR_ROUNDS or roots is None:
+                break
+            continue
+        found = _verified(fresh, nodes, docs, percent)
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        if found.take(1):
+            links = found if links is None else links.unionByName(found)
+            roots = components(links)
+        elif roots is None:
+            roots = found.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+    roots = shared.select("node", F.col("hub").alias("root")).limit(0) if roots is None else roots
     named = nodes.select("node", F.col("first.doc_id").alias("own")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("own").alias("component"))
     classes = named.join(best, "root").select("node", "component")
