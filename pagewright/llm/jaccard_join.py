@@ -302,9 +302,12 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             one, two = open_rows.alias("one"), open_rows.alias("two")
             across = (F.col("one.node") < F.col("two.node")) & (F.col("one.root") != F.col("two.root")) & _possible(F.col("one.size_at"), F.col("two.size_at"), percent)
             more = one.join(two, (F.col("one.gram") == F.col("two.gram")) & across).select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
-            fresh = save(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            more = more.distinct()
+            fresh = save(more if tried is None else more.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if roots is None:
+            roots = fresh.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
         if not fresh.take(1):
-            if turn == STAR_ROUNDS or roots is None:
+            if not open_rows.take(1):
                 break
             continue
         found = _verified(fresh, nodes, docs, percent)
@@ -312,10 +315,7 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if found.take(1):
             links = found if links is None else links.unionByName(found)
             roots = components(links)
-        elif roots is None:
-            roots = found.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
-    roots = shared.select("node", F.col("hub").alias("root")).limit(0) if roots is None else roots
     named = nodes.select("node", F.col("first.doc_id").alias("own")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("own").alias("component"))
     classes = named.join(best, "root").select("node", "component")
