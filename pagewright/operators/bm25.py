@@ -13,9 +13,14 @@ from pagewright.functions import text as X
 BROADCAST_ROWS = 200_000
 
 
+def fits(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``most`` rows."""
+    return df.limit(most + 1).count() <= most
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only if it has at most ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """Mark ``df`` for broadcast only if it has at most ``most`` rows. Meant for sides that are cheap to count."""
+    return F.broadcast(df) if fits(df, most) else df
 
 
 def docs_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -51,7 +56,9 @@ def score(terms: DataFrame, posts: DataFrame, docs: DataFrame, settings: C.Setti
     k1, b = F.lit(settings.k1), F.lit(settings.b)
     stats = corpus_stats(docs)
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    weights = small(terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "times", (F.log1p((F.col("doc_count") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))).alias("idf"), F.when(F.col("avg_dl") == 0, F.lit(1.0)).otherwise(F.col("avg_dl")).alias("avg_dl")))
+    weights = terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "times", (F.log1p((F.col("doc_count") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))).alias("idf"), F.when(F.col("avg_dl") == 0, F.lit(1.0)).otherwise(F.col("avg_dl")).alias("avg_dl"))
+    if fits(terms):  # at most as many weights as query terms
+        weights = F.broadcast(weights)
     hits = posts.join(weights, "term").join(docs.select("chunk_id", "dl"), "chunk_id")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + F.lit(1.0)) / (F.col("tf") + k1 * (F.lit(1.0) - b + b * F.col("dl") / F.col("avg_dl")))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
