@@ -47,10 +47,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays: that with the smallest doc_id.
 
-    Of rows that repeat this id, that with the least hash of its text stays; rows that repeat both count once.
+    Of linked rows that repeat this id, that with the least hash of its text stays; rows that repeat both count once. Rows that nothing
+    links stay, also where their ids are null or repeated.
     """
     judged = similar_documents(docs)
-    first = judged.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_key")).alias("first"))
+    first = judged.groupBy("component_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_key")).alias("first"))
     kept = first.select("first.doc_id", "first.text_key")
     out = _keyed(docs).join(_named(kept), _same(), "left_semi")
     if judged.groupBy("doc_id", "text_key").count().filter("count > 1").take(1):

@@ -254,12 +254,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
 
 
 def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document, one row for each row of ``docs``; also ``text_key``.
+    """``doc_id, n_shingles, component_id`` of every document, one row for each row of ``docs``; also ``text_key, component_key``.
 
     Two documents link where 100 * intersection >= ``percent`` * union of their shingle sets; component_id is the
     smallest doc_id reachable by links. Documents without words link with nothing and are their own component.
     Rows with equal sets are one node, so copies cost one narrow row each, in any number. Null ids take part
     and never name a component unless it has no other id. Repeated rows give repeated results; other columns are not read.
+    component_id does not tell components apart where ids are null or repeated; component_key does: the root node, or for a row without words its id and text_key.
     """
     scan = _scan(docs)
     rows = scan.filter("counters is null").drop("counters")
@@ -318,6 +319,8 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     named = nodes.select("node", F.col("first.doc_id").alias("own")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("own").alias("component"))
-    classes = named.join(best, "root").select("node", "component")
+    classes = named.join(best, "root").select("node", "component", "root")
     out = rows.join(classes, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "text_key")
+    alone = F.col("root").isNull()
+    key = F.struct("root", F.when(alone, F.col("doc_id")).alias("doc_id"), F.when(alone, F.col("text_key")).alias("text_key"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "text_key", key.alias("component_key"))

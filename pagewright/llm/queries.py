@@ -26,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": lambda s, d: judge_urls(_table(s, d, "pages")),
-        "op2_ngram_jaccard_join": lambda s, d: similar_documents(_table(s, d, "documents")).drop("text_key"),
+        "op2_ngram_jaccard_join": lambda s, d: similar_documents(_table(s, d, "documents")).drop("text_key", "component_key"),
         "op3_best_fit_packing": lambda s, d: pack_documents(_table(s, d, "documents")),
         "op4_token_counts": lambda s, d: count_tokens(_table(s, d, "documents")),
         "op5_warc_archive": lambda s, d: archive_digest(_table(s, d, "pages")),

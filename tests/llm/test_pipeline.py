@@ -42,3 +42,15 @@ def test_stages_of_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_near_duplicates_keeps_what_nothing_links(spark):
+    words = lambda a, n=40: " ".join(f"{a}{i}" for i in range(n))
+    alone = [(None, words("a")), (None, words("b")), (None, words("c")), (None, ""), (None, " "), (7, words("d")), (7, words("e")), (7, "")]
+    linked = [[(None, words("f")), (None, words("f") + " x")], [(7, words("g")), (8, words("g") + " y")], [(None, words("h")), (9, words("h") + " z")], [(7, words("k")), (7, words("k") + " w")]]
+    docs = spark.createDataFrame(alone + sum(linked, []), "doc_id long, text string")
+    got = [tuple(r) for r in P.near_duplicates(spark, docs, SF).collect()]
+    assert set(alone) <= set(got)
+    assert [[r for r in group if r in got] for group in linked[1:3]] == [[linked[1][0]], [linked[2][1]]]
+    assert [sum(r in got for r in group) for group in linked] == [1, 1, 1, 1]
+    assert len(got) == len(alone) + len(linked)
