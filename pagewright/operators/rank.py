@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright import config as C
+from pagewright.operators.bm25 import small
+from pagewright.operators.vectors import nearest
 
 
 def fuse(candidates: DataFrame, cosines: DataFrame) -> DataFrame:
@@ -63,6 +65,26 @@ def dense_interleave(nearest: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("place", "model_order")).cast("long")).filter(F.col("rank") <= k)
 
 
+def dense_fill(pool: DataFrame, models: list[tuple[DataFrame, DataFrame]], live: DataFrame, k: int = C.DEFAULTS.bm25_top) -> DataFrame:
+    """``query_id, chunk_id, rank`` of the chunks that fill each query's pool up to ``k``.
+
+    ``pool``: (query_id, chunk_id), the sparse hits. ``models``: for each its query vectors (query_id, vector) and its indexed chunks (item_id,
+    input_hash, vector), one row a chunk. ``live``: (chunk_id, input_hash) of the chunks as they are now; an indexed chunk with another hash
+    is stale and stays out before places are counted. A query gets ``k`` less its hits; one without hits, or with ``k`` or more, gets none.
+    Of a model's ``k`` nearest at most the hits are in the pool already, so those left are enough.
+    """
+    have = pool.select("query_id", "chunk_id").distinct()
+    need = have.groupBy("query_id").agg((F.lit(k) - F.count("*")).alias("need")).filter("need > 0")
+    lists = None
+    for order, (queries, items) in enumerate(models):
+        fresh = items.join(small(live.select(F.col("chunk_id").alias("item_id"), "input_hash").distinct()), ["item_id", "input_hash"], "left_semi")
+        part = nearest(queries.join(need, "query_id", "left_semi"), fresh, k).withColumnRenamed("item_id", "chunk_id").join(have, ["query_id", "chunk_id"], "left_anti")
+        again = W.partitionBy("query_id").orderBy("place")
+        part = part.select("query_id", "chunk_id", F.row_number().over(again).alias("place"), F.lit(order).alias("model_order"))
+        lists = part if lists is None else lists.unionByName(part)
+    return dense_interleave(lists, k).join(need, "query_id").filter(F.col("rank") <= F.col("need")).select("query_id", "chunk_id", "rank")
+
+
 def reassign_slots(rows: DataFrame, top: int = C.DEFAULTS.ce_top, mode: str = "fuse") -> DataFrame:
     """The best ``top`` rows (not those without a chunk) are ordered anew by the pair scorer; they share out their own scores again.
 

@@ -262,15 +262,16 @@ f AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER
 
 @query("dense_fill", f"WITH {DENSE_SQL} SELECT query_id, chunk_id, rank, CAST(0 AS DOUBLE) AS bm25_score FROM f WHERE rank <= 12")
 def dense_fill(s, d):
-    """A pool of 8 is filled to 20 with the models' nearest chunks in turns; chunks already there, and stale ones, stay out."""
+    """Pools of 8 are filled to 20 by ``rank.dense_fill``.
+
+    The plain tables have neither pools for these queries nor chunk hashes, and the SQL fixes which chunks are out. So every third chunk's
+    live hash is another than the indexed one, and each pool is 8 of those.
+    """
     q = V.mean_pool(vectors(s, d), "label", unit=False).withColumnRenamed("label", "query_id")
-    have = F.col("item_id") % 3 == 0
-    lists = None
-    for order, lo in ((0, 1), (1, 33)):
-        part = V.nearest(q.select("query_id", F.slice("vector", lo, 32).alias("vector")), vectors(s, d, lo, 32).filter(~have), C.DEFAULTS.bm25_top)
-        part = part.select("query_id", F.col("item_id").alias("chunk_id"), "place", F.lit(order).alias("model_order"))
-        lists = part if lists is None else lists.unionByName(part)
-    return R.dense_interleave(lists, 12).select("query_id", "chunk_id", "rank", F.lit(0.0).alias("bm25_score"))
+    live = vectors(s, d).select(F.col("item_id").alias("chunk_id"), F.when(F.col("item_id") % 3 == 0, "changed").otherwise("indexed").alias("input_hash"))
+    hits = q.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(21), F.lit(3)).cast("array<bigint>")).alias("chunk_id"))
+    models = [(q.select("query_id", F.slice("vector", lo, 32).alias("vector")), vectors(s, d, lo, 32).withColumn("input_hash", F.lit("indexed"))) for lo in (1, 33)]
+    return R.dense_fill(hits, models, live).select("query_id", "chunk_id", "rank", F.lit(0.0).alias("bm25_score"))
 
 
 @query(

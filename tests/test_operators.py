@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -208,3 +209,19 @@ def test_streaming(spark, tmp_path):
 def test_constants():
     known = [p for pair in C.INVERSE_PAIRS for p in pair] + list(C.INVERSE_FREE)
     assert len(known) == 21 and "the" in C.STOPWORDS and "già" in C.STOPWORDS
+
+
+def test_dense_fill(spark):
+    angle = lambda t: [math.cos(t), math.sin(t)]
+    items = [spark.createDataFrame([(i, f"h{i}", angle(sign * i / 10)) for i in range(10)], "item_id long, input_hash string, vector array<double>") for sign in (1, -1)]
+    queries = spark.createDataFrame([(q, angle(0.0)) for q in range(4)] + [(4, angle(0.9))], "query_id int, vector array<double>")
+    live = spark.createDataFrame([(i, "new" if i == 3 else f"h{i}") for i in range(9)], "chunk_id long, input_hash string")
+    hits = [(0, 1), (0, 90)] + [(1, i) for i in range(4)] + [(2, i) for i in range(5)] + [(4, 8), (4, 5), (4, 0)]
+    pool = spark.createDataFrame(hits, "query_id int, chunk_id long")
+    got = {q: [] for q in range(5)}
+    for r in sorted(R.dense_fill(pool, [(queries, i) for i in items], live, 4).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.rank, r.chunk_id))
+    # query 1 is full, 2 more than full, 3 without hits; chunk 3 is stale and 9 gone; the second model has other places for query 4
+    assert got == {0: [(1, 0), (2, 2)], 1: [], 2: [], 3: [], 4: [(1, 7)]}
+    two = R.dense_fill(pool.filter("chunk_id = 8"), [(queries, i) for i in items], live, 4)
+    assert [r.chunk_id for r in two.orderBy("rank").collect()] == [7, 0, 6]
