@@ -84,7 +84,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_positive: int = SAM
     """``held_out, score, predicted`` of every whole text, one row for each row of ``docs``.
 
     The class prior is the share of positives among the labels that may be learned from. The
-    two samples are bounded, chosen by a hash over all ids, and the only data that reach the driver;
+    two samples are bounded, chosen by a hash over all ids, one row an id (that with the least hash of its text), and the only data that reach the driver;
     scoring is one pass without a shuffle. Without positives every score is 0.5. Null texts count as
     empty and are scored; labels without a class are left out; of repeated labels the lowest counts.
     """
@@ -94,14 +94,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_positive: int = SAM
     chosen_p = hash_sample(taught.filter("quality >= 1"), sample_positive, salt=6).select("doc_id", F.lit(True).alias("trusted"))
     ids = docs.select("doc_id").filter(~held_out() & F.col("doc_id").isNotNull()).distinct()
     chosen_u = hash_sample(ids, sample_unlabelled, salt=7).select("doc_id", F.lit(False).alias("trusted"))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen_p.unionByName(chosen_u)), "doc_id")
+    chosen, keyed = F.broadcast(chosen_p.unionByName(chosen_u)), docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    least = keyed.select("doc_id", "text_key").join(chosen, "doc_id").groupBy("doc_id", "trusted").agg(F.min("text_key").alias("text_key"))
+    sample = keyed.join(F.broadcast(least), ["doc_id", "text_key"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for b in steps(batches, "text"):
+            names = zip(b.column("doc_id").to_pylist(), b.column("trusted").to_pylist(), strict=True)
+            b = b.filter(pa.array([n not in seen and not seen.add(n) for n in names], pa.bool_()))  # rows that repeat id and text
             x = features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("trusted"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "trusted", "x"])
 
-    rows = sorted(sample.select("doc_id", "trusted", "text").mapInArrow(extract, "doc_id string, trusted boolean, x binary").collect())
+    rows = sorted(sample.select("doc_id", "trusted", "text").mapInArrow(extract, "doc_id string, trusted boolean, x binary").dropDuplicates(["doc_id", "trusted"]).collect())
     of = lambda trusted: np.frombuffer(b"".join(r.x for r in rows if r.trusted == trusted), np.float32).reshape(-1, WIDTH)
     weights = fit(of(True), of(False), prior)
 

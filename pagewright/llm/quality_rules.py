@@ -123,14 +123,17 @@ def judge_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     """Base counts, ``base_failed`` and ``kept`` of every document, one row for each row of ``docs``; ``with_key`` adds a hash of the text.
 
     One pass over the whole texts gives narrow counts, which are saved; the labels join these, never the
-    texts. The list is learned on the driver from about ``sample_rows`` labelled rows and applied as an
+    texts. The list is learned on the driver from about ``sample_rows`` labelled rows, one an id, and applied as an
     expression. Null or empty texts have no words, so the base rule fails them. Null ids and labels
     without a class teach nothing; without labels only the base rule counts. Other columns are not read.
     """
     counts = ratios(save(with_text_counts(docs), "text-counts"))
     taught = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = hash_sample(taught, sample_rows)
-    rows = counts.join(sample, "doc_id").select("doc_id", F.xxhash64("doc_id").alias("turn"), (F.col("quality") < 1).alias("bad"), *[r[0] for r in RATIOS]).toPandas().sort_values(["turn", "doc_id", "word_length"]).reset_index(drop=True)
+    names = [r[0] for r in RATIOS]
+    labelled = counts.join(sample, "doc_id").select("doc_id", F.struct("text_key", (F.col("quality") < 1).alias("bad"), *names).alias("row"))
+    once = labelled.groupBy("doc_id").agg(F.min("row").alias("row"))  # of rows that repeat an id, that with the least hash of its text
+    rows = once.select("doc_id", F.xxhash64("doc_id").alias("turn"), "row.bad", *[f"row.{n}" for n in names]).toPandas().sort_values(["turn", "doc_id", "word_length"]).reset_index(drop=True)
     verdict = as_expression(learn_list(rows))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counts.withColumn("base_failed", failed).select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & verdict).alias("kept"), *["text_key"] * with_key)

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright.llm import quality_model, quality_rules
 from pagewright.llm.common import split_words, steps
 from pagewright.llm.decontamination import find_contamination
 from pagewright.llm.encoding import UnitEncoder, tokenizer_path
@@ -362,3 +363,17 @@ def test_substring_dedup(spark, seed, options):
     got = drop_repeats(frame(spark, docs).repartition(3), **options).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert drop_repeats(frame(spark, [])).count() == 0
+
+
+def test_samples_have_one_row_an_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, f"hot words number {i % 40}") for i in range(120)] + [(i, f"other words of {i}") for i in range(1, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2 ^ 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    sizes = []
+    real_fit, real_list = quality_model.fit, quality_rules.learn_list
+    monkeypatch.setattr(quality_model, "fit", lambda p, u, prior: sizes.append((len(p), len(u))) or real_fit(p, u, prior))
+    monkeypatch.setattr(quality_rules, "learn_list", lambda rows: sizes.append(list(rows["doc_id"])) or real_list(rows))
+    free = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert score_quality(docs, labels).count() == 149
+    assert judge_quality(docs, labels).count() == 149
+    assert sizes[0] == (sum(i % 2 == 0 for i in free), len(free))
+    assert sorted(sizes[1]) == list(range(30))
