@@ -89,20 +89,23 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_digest(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write the archive to the shared folder, read it back and return each page's record.
+    """Write the archive to the shared folder, read it back and return what each page's record says.
 
-    What is said of a payload is computed from its stored bytes, once for each payload, and joined to
-    the headers by digest. Empty tables give no rows; null ids stay null; other columns are not read.
+    Of a response, length and digest are those of the body in its rebuilt record. A revisit's record has no body; its header
+    gives them, and what it refers to. Empty tables give no rows; null ids stay null; other columns are not read.
     """
     spark, path = pages.sparkSession, shared_dir(pages.sparkSession, "archive")
     write_archive(pages, path, least_bytes)
-    headers = spark.read.parquet(f"{path}/headers")
-    stored = spark.read.parquet(f"{path}/payloads")
-    checked = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload without its digest: "), F.col("sha256"))))
-    facts = stored.select("sha256", F.octet_length(checked).cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    text = F.col("header").cast("string")
-    kind = F.regexp_extract(text, r"\r\nWARC-Type: (\w+)\r\n", 1)
-    return headers.withColumn("kind", kind).join(facts, "sha256").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+    start = F.octet_length("header")
+    records = read_archive(spark, path).withColumns({"text": F.col("header").cast("string"), "length": F.octet_length("record") - start - 4})
+    records = records.select("page_id", "text", "length", F.substr("record", start + 1, F.col("length")).alias("body"))
+    said = lambda pattern: F.regexp_extract("text", pattern, 1)
+    kind = said(r"\r\nWARC-Type: (\w+)\r\n")
+    revisit = kind == "revisit"
+    size = F.when(revisit, said(r"(?s).*\r\nContent-Length: (\d+)\r\n\r\n$").try_cast("long")).otherwise(F.col("length").cast("long"))
+    digest = F.when(revisit, said(r"\r\nWARC-Payload-Digest: sha1:(\w+)\r\n")).otherwise(base32_sha1(F.col("body")))
+    refers = F.when(revisit, F.nullif(said(r"\r\nWARC-Refers-To: <urn:page:(.*)>\r\n"), F.lit("null")).try_cast(pages.schema["page_id"].dataType))
+    return records.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), kind.alias("record_type"), refers.alias("refers_to"))
 
 
 _LENGTH = re.compile(rb"(?im)^content-length:\s*(\d+)")

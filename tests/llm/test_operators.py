@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.llm import quality_model, quality_rules
+from pagewright.llm import quality_model, quality_rules, warc
 from pagewright.llm.common import split_words, steps
 from pagewright.llm.decontamination import find_contamination
 from pagewright.llm.encoding import UnitEncoder, tokenizer_path
@@ -365,6 +365,21 @@ def test_substring_dedup(spark, seed, options):
     assert drop_repeats(frame(spark, [])).count() == 0
 
 
+def test_archive_digest_reads_records_back(spark, monkeypatch):
+    def write(pages, path, least_bytes=0):
+        write_archive(pages, f"{path}/first", least_bytes)
+        spark.read.parquet(f"{path}/first/headers").withColumn("refers_to", F.lit(-1).cast("long")).write.parquet(f"{path}/headers")
+        spark.read.parquet(f"{path}/first/payloads").write.parquet(f"{path}/payloads")
+
+    pages = spark.createDataFrame([(1, "u", "é\r\n\r\nContent-Length: 9\r\n\r\n"), (5, "v", "x"), (6, "w", "x"), (None, "z", None), (None, "y", "")], "page_id long, url string, html string")
+    want = sorted(map(str, archive_digest(pages).collect()))
+    monkeypatch.setattr(warc, "write_archive", write)
+    assert sorted(map(str, archive_digest(pages).collect())) == want
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    got = [tuple(r) for r in archive_digest(pages).filter("page_id > 1").orderBy("page_id").collect()]
+    assert got == [(5, 1, digest("x"), "revisit", 6), (6, 1, digest("x"), "response", None)]
+
+
 def test_samples_have_one_row_an_id(spark, monkeypatch):
     docs = spark.createDataFrame([(0, f"hot words number {i % 40}") for i in range(120)] + [(i, f"other words of {i}") for i in range(1, 30)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2 ^ 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
