@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +18,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python function holds at once.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 2 << 20
+#: Bytes and rows of one Arrow batch that Spark sends to a Python function.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests), below a temporary one."""
+    """A new folder below ``spark.checkpoint.dir``; only where that is unset on one machine (tests), below a temporary one.
+
+    On a cluster a folder of one machine would lose rows without an error, so there the setting is asked for.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         base = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -34,6 +45,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with small batches: where the session has Spark's own limits, they are lowered; limits that a user has set stay."""
+    conf = df.sparkSession.conf
+    for key, usual, ours in (("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS)):
+        if conf.get(key) == usual:
+            conf.set(key, str(ours))
+    return df.mapInArrow(run, schema)
+
+
 def hash_sample(df: DataFrame, rows: int, key: str = "doc_id", salt: int = 0) -> DataFrame:
     """All rows, or where there are more, those with the least hashes of ``key``: about ``rows`` in the mean, whatever the size.
 
@@ -46,7 +66,7 @@ def hash_sample(df: DataFrame, rows: int, key: str = "doc_id", salt: int = 0) ->
 
 
 def steps(batches: Iterable[pa.RecordBatch], column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that ``column`` holds about ``most`` bytes in each (one row at least)."""
+    """Cut Arrow batches so that ``column`` holds about ``most`` bytes in each (one row at least). At the end, unused memory goes back to the system."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -56,6 +76,14 @@ def steps(batches: Iterable[pa.RecordBatch], column: str, most: int = STEP_BYTES
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if hi > lo:
                 yield b.slice(lo, hi - lo)
+    release()
+
+
+def release() -> None:
+    """Give the memory that this worker no longer uses back to the system: idle workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

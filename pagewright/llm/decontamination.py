@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import compact, cut_at_space, steps
+from pagewright.llm.common import compact, cut_at_space, map_arrow, steps
 
 WINDOW = 13
 #: Text bytes of one automaton: some tens of MB once built, whatever the benchmark's size.
@@ -220,5 +220,5 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                 names.append("text_key")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = docs.select("doc_id", "text", *[F.xxhash64("text").alias("text_key")] * with_key).mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string" + ", kept_text string" * with_text + ", text_key long" * with_key)
+    out = map_arrow(docs.select("doc_id", "text", *[F.xxhash64("text").alias("text_key")] * with_key), run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string" + ", kept_text string" * with_text + ", text_key long" * with_key)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

@@ -3,15 +3,18 @@
 A document is its set of distinct word n-grams. Texts with equal sets are one node. Grams are ordered rare
 first by a counter table of fixed size over the whole corpus, so two nodes can only link if they share one of
 their first ``n - ceil(t n) + 1`` grams. A group of nodes with a common prefix gram is not paired
-with itself: in rounds, every node tries one group's hub, that with which it shares most prefix grams, and links
-merge components; the last join is left with groups that still hold several components, and with pairs across these. Length and positional filters cut
-candidates before any text moves, the suffix filter before sets are intersected.
+with itself: in rounds, every node tries some neighbours in its groups, and links merge components; the last join is
+left with groups that still hold several components, and with pairs across these.
+
+Filters before any text moves: length; position (at the first common gram nothing before it is common, so as many
+grams as the pair needs must be left from there in both); suffix (a set's parity bits bound the Hamming distance of two sets
+from below, and so their overlap from above). A pair that passes is verified once, on whole sets.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,18 +23,30 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import gram_hashes, save, split_words, steps, word_hashes
+from pagewright.llm.common import gram_hashes, map_arrow, release, save, split_words, steps, word_hashes
 from pagewright.llm.graph import components
 
 WORDS = 5
 #: The threshold as a whole percentage.
 PERCENT = 80
-#: Counters of the rarity table: 4 MB for any corpus.
-COUNTERS = 1 << 20
-#: Rounds in which every node of a group that is still in several components tries one hub, before what is left is paired.
-STAR_ROUNDS = 3
+#: Bits of a gram's place in the rarity table: 4 million counters, 16 MB in a task and 4 MB when broadcast, for any corpus.
+COUNTER_BITS = 22
+#: The rarity tables of the tasks are summed in slices of so many counters, so many tables at a time.
+SLICE, FAN_IN = 1 << 16, 64
+#: Parity bits of a set, as 64-bit words.
+PARITY_WORDS = 8
+PARITY = [f"parity_{i}" for i in range(PARITY_WORDS)]
+#: Neighbours in its group that a row is paired with in the first round.
+NEIGHBOURS = 8
+#: Rounds end when the last join has to compare at most so many pairs for each node, when a round settles less than a quarter of
+#: what is to be compared, or after so many.
+COMPARED, ROUNDS = 256, 8
+#: Hubs that a group draws in each later round.
+HUBS = 4
 #: Partners of one node that one task verifies (in the mean); a node with more is salted.
-PARTNERS = 2_000
+PARTNERS = 256
+#: Names of sets that a task remembers, so that copies in one partition give their postings once.
+REMEMBERED = 200_000
 #: Bits of the bitmap that keeps documents without candidates out of a shuffle: 4 MB at most.
 MOST_BITS = 1 << 25
 #: Nodes whose 64-bit name is shared by two sets; expected none below 10^9 documents, some dozens at 3 * 10^10.
@@ -63,7 +78,24 @@ def names_of(grams: np.ndarray) -> tuple[int, int]:
 
 def rare_first(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Grams renamed so that their numerical order is rare first: class of rarity, then hash."""
-    return np.sort((classes[(grams >> np.uint64(44)).astype(np.int64)] << np.uint64(56)) | (grams & np.uint64((1 << 56) - 1)))
+    return np.sort((classes[(grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (grams & np.uint64((1 << 56) - 1)))
+
+
+def parity_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of :data:`PARITY_WORDS` integers a set; bit i tells whether an odd number of the set's grams fall on i.
+
+    Each bit in which two sets differ is owed to another gram that only one of them has.
+    """
+    out = np.zeros((len(sets), PARITY_WORDS), np.int64)
+    bits = PARITY_WORDS * 64
+    for lo in range(0, len(sets), 4096):
+        some = sets[lo : lo + 4096]
+        row = np.repeat(np.arange(len(some)), [len(s) for s in some])
+        if len(row):
+            at = row * bits + ((np.concatenate(some) >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+            odd = (np.bincount(at, minlength=len(some) * bits) & 1).astype(bool)
+            out[lo : lo + len(some)] = np.packbits(odd, bitorder="little").view("<i8").reshape(len(some), PARITY_WORDS)
+    return out
 
 
 def needed_overlap(na: int, nb: int, percent: int = PERCENT) -> int:
@@ -90,53 +122,66 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """Pass one, saved: a narrow row for each document, and rows with a partition's counters."""
+    """Pass one, saved: a narrow row for each document, and a task's counters as rows of slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, np.int64)
-        empty = True
+        counters = np.zeros(1 << COUNTER_BITS, np.uint32)
+        columns = ["doc_id", "text_key", "n_shingles", "name", "check", *PARITY, "slice", "counters"]
+        kind = None
         for b in steps(batches, "text"):
-            empty = False
+            kind = b.schema.field("doc_id").type
             sets = gram_sets(b.column("text"))
-            counters += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+            np.add.at(counters, (np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), np.uint32(1))
             names = [names_of(s) if len(s) else (None, None) for s in sets]
-            m = len(sets)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()), pa.nulls(m, pa.binary())], ["doc_id", "text_key", "n_shingles", "name", "check", "counters"])
-        if not empty:
-            kind = b.schema.field("doc_id").type
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([zlib.compress(np.minimum(counters, 2**32 - 1).astype("<u4").tobytes(), 1)], pa.binary())], ["doc_id", "text_key", "n_shingles", "name", "check", "counters"])
+            parity, m = parity_bits(sets), len(sets)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()), *(pa.array(np.ascontiguousarray(parity[:, i])) for i in range(PARITY_WORDS)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], columns)
+        if kind is not None:
+            slices = counters.astype("<u8").reshape(-1, SLICE)
+            for k in range(0, len(slices), 8):
+                part = [zlib.compress(x.tobytes(), 1) for x in slices[k : k + 8]]
+                m = len(part)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), *(pa.nulls(m, pa.int64()) for _ in range(4 + PARITY_WORDS)), pa.array(range(k, k + m), pa.int32()), pa.array(part, pa.binary())], columns)
 
     narrow = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return save(narrow.mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, name long, check long, counters binary"), "scan")
+    parity = ", ".join(f"{c} long" for c in PARITY)
+    return save(map_arrow(narrow, run, f"doc_id {kind}, text_key long, n_shingles long, name long, check long, {parity}, slice int, counters binary"), "scan")
 
 
 def _rarity(scan: DataFrame) -> np.ndarray:
-    """A class of rarity for each counter, monotone in the corpus count; tables are summed in groups before the driver sums these."""
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(COUNTERS, np.int64)
-        for x in pdf["counters"]:
-            total += np.frombuffer(zlib.decompress(x), "<u4")
-        return pd.DataFrame({"counters": [zlib.compress(total.tobytes(), 1)]})
-
-    parts = scan.filter("counters is not null").select("counters")
-    some = parts.groupBy(F.pmod(F.xxhash64("counters"), F.lit(16)).alias("k")).applyInPandas(add, "counters binary").collect()
-    total = np.zeros(COUNTERS, np.int64)
-    for x in some:
-        total += np.frombuffer(zlib.decompress(x.counters), np.int64)
-    return np.minimum(255, np.floor(np.log2(total + 1) * 7)).astype(np.uint64)
+    """A class of rarity for each counter, monotone in the corpus count. Slices are summed, some tables at a time; classes go to the driver."""
+
+    def adding(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(SLICE, np.uint64)
+            for x in pdf["counters"]:
+                total += np.frombuffer(zlib.decompress(x), "<u8")
+            if last:
+                total = np.minimum(255, np.floor(np.log2(total + 1.0) * 7)).astype(np.uint8)
+            return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counters": [zlib.compress(total.tobytes(), 1)]})
+
+        return add
+
+    parts = scan.filter("slice is not null").select("slice", "counters")
+    tables = parts.filter("slice = 0").count()
+    while tables > FAN_IN:
+        tables = -(-tables // FAN_IN)
+        parts = save(parts.groupBy("slice", F.pmod(F.xxhash64("counters"), F.lit(tables)).alias("k")).applyInPandas(adding(False), "slice int, counters binary"), "counters")
+    out = np.zeros(1 << COUNTER_BITS, np.uint8)
+    for x in parts.groupBy("slice").applyInPandas(adding(True), "slice int, counters binary").collect():
+        out[x.slice * SLICE : (x.slice + 1) * SLICE] = np.frombuffer(zlib.decompress(x.counters), np.uint8)
+    return out
 
 
 def _postings(docs: DataFrame, classes: np.ndarray, collided: set[int], percent: int) -> DataFrame:
     """Pass two: ``(gram, node, size_at)`` for the prefix of each node; ``size_at`` packs set size and position."""
-    sc = docs.sparkSession.sparkContext
-    table = sc.broadcast(classes.astype(np.uint8))
+    table = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = table.value.astype(np.uint64)
+        rarity, seen = table.value, set()
         for b in steps(batches, "text"):
-            seen: set[int] = set()
+            if len(seen) > REMEMBERED:
+                seen.clear()
             grams, nodes, packed = [], [], []
             for s in gram_sets(b.column("text")):
                 if not len(s):
@@ -154,50 +199,70 @@ def _postings(docs: DataFrame, classes: np.ndarray, collided: set[int], percent:
             if grams:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(packed))], ["gram", "node", "size_at"])
 
-    return docs.select("text").mapInArrow(run, "gram long, node long, size_at long")
+    return map_arrow(docs.select("text"), run, "gram long, node long, size_at long")
 
 
 def node_of(name: int, check: int, collided: set[int]) -> int:
     return name if name not in collided else int(np.uint64(xxhash.xxh3_64_intdigest(np.array([name, check]).tobytes())).astype(np.int64))
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """Rows of grams that two nodes or more have, each with the group's smallest node as its hub. One sorted pass that holds a row."""
+def _shared(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs (rows with ``other``) of each row with up to :data:`NEIGHBOURS` rows before it in its gram's group, and the rows of larger groups.
+
+    In a group of up to NEIGHBOURS + 1 rows these are all pairs, so only larger groups are looked at again. The pairs have
+    passed the length and positional filters. One sorted pass that holds a batch and the last rows.
+    """
+    names, most = ["gram", "node", "size_at", "other"], NEIGHBOURS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = hub = None  # the row held back (with whether it shares its gram with the one before); the hub of its group
+        g = v = x = np.empty(0, np.int64)
         for b in batches:
-            g, v, x = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if not len(g):
-                continue
-            before = False
-            if last is not None:
-                g, v, x = np.append(last[0], g), np.append(last[1], v), np.append(last[2], x)
-                before = last[3]
-            keep = np.concatenate(([True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])))
-            g, v, x = g[keep], v[keep], x[keep]
-            same = np.concatenate(([before], g[1:] == g[:-1]))
-            begins = np.flatnonzero(~np.concatenate(([last is not None], same[1:])))
-            group = np.searchsorted(begins, np.arange(len(g)), "right")
-            hub_v = np.concatenate(([hub[0] if hub else 0], v[begins]))[group]
-            hub_x = np.concatenate(([hub[1] if hub else 0], x[begins]))[group]
-            out = same[:-1] | same[1:]
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[:-1][out]) for c in (g, v, x, hub_v, hub_x)], ["gram", "node", "size_at", "hub", "hub_size_at"])
-            last, hub = (g[-1], v[-1], x[-1], bool(same[-1])), (hub_v[-1], hub_x[-1])
-        if last is not None and last[3]:
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()) for c in (*last[:3], *hub)], ["gram", "node", "size_at", "hub", "hub_size_at"])
+            held = len(g)
+            g, v, x = (np.concatenate((old, b.column(i).to_numpy(zero_copy_only=False))) for i, old in enumerate((g, v, x)))
+            fresh = np.ones(len(g), bool)
+            fresh[1:] = (g[1:] != g[:-1]) | (v[1:] != v[:-1])
+            g, v, x = g[fresh], v[fresh], x[fresh]
+            for far in range(1, most):
+                i = np.arange(max(held, far), len(g))
+                i = i[g[i] == g[i - far]]
+                i = i[_fits(x[i], x[i - far], percent)]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(i), pa.int64()), pa.array(v[i - far]), pa.nulls(len(i), pa.int64()), pa.array(v[i])], names)
+            i = np.arange(max(held, most), len(g))
+            i = i[g[i] == g[i - most]]
+            first = i[(i == most) | (g[i] != g[i - most - 1])]  # with these a group proves large: those before are due too
+            i = np.concatenate((i, (first[:, None] - np.arange(1, most + 1)).ravel()))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[i]) for c in (g, v, x)), pa.nulls(len(i), pa.int64())], names)
+            g, v, x = g[-most - 1 :], v[-most - 1 :], x[-most - 1 :]
+        release()
 
     dealt = postings.repartition("gram").sortWithinPartitions("gram", "node")
-    return save(dealt.mapInArrow(run, "gram long, node long, size_at long, hub long, hub_size_at long"), "shared-grams")
+    return save(map_arrow(dealt, run, "gram long, node long, size_at long, other long"), "shared-grams")
+
+
+def _fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """:func:`_possible` on arrays."""
+    na, nb = a >> 32, b >> 32
+    left = np.minimum(na - (a & 0xFFFFFFFF), nb - (b & 0xFFFFFFFF))
+    return (percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb)) & ((100 + percent) * left >= percent * (na + nb))
 
 
 def _possible(a: Column, b: Column, percent: int) -> Column:
-    """Length and positional filters on packed sizes and positions of one common prefix gram."""
+    """Length and positional filters on packed sizes and positions.
+
+    They hold for every linked pair at its first common gram (of earlier ones none is common): the overlap that the sizes ask for must fit in what is left from there.
+    """
     na, nb = F.shiftright(a, 32), F.shiftright(b, 32)
-    pa_, pb = a.bitwiseAND((1 << 32) - 1), b.bitwiseAND((1 << 32) - 1)
-    most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    return (percent * F.greatest(na, nb) <= 100 * F.least(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
+    left = F.least(na - a.bitwiseAND((1 << 32) - 1), nb - b.bitwiseAND((1 << 32) - 1))
+    return (percent * F.greatest(na, nb) <= 100 * F.least(na, nb)) & ((100 + percent) * left >= percent * (na + nb))
+
+
+def _overlap_possible(one: str, two: str, percent: int) -> Column:
+    """Suffix filter on parity bits: na + nb - 2 * overlap is at least the number of bits that differ."""
+    size = F.shiftright(F.col(f"{one}.size_at"), 32) + F.shiftright(F.col(f"{two}.size_at"), 32)
+    apart = sum((F.bit_count(F.col(f"{one}.{c}").bitwiseXOR(F.col(f"{two}.{c}"))) for c in PARITY), F.lit(0))
+    return (100 + percent) * (size - apart) >= 2 * percent * size
 
 
 def _may_hold(keys: DataFrame, column: str) -> np.ndarray:
@@ -250,7 +315,26 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good, strict=True)], ["a", "b"])
 
     dealt = match.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "partner", "node")
-    return save(dealt.mapInArrow(run, "a long, b long").distinct(), "links")
+    return save(map_arrow(dealt, run, "a long, b long").distinct(), "links")
+
+
+def _open(shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of groups that still hold several components, with their roots; and how many pairs across components these groups hold."""
+    known = shared.select("gram", "node", "size_at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = known.groupBy("gram", "root").agg(F.count("*").cast("double").alias("n"))
+    several = parts.groupBy("gram").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+    several = save(several.filter("roots > 1").select("gram", ((F.col("n") * F.col("n") - F.col("inside")) / 2).alias("compared")), "open-groups")
+    compared = several.agg(F.sum("compared")).first()[0] or 0
+    return save(known.join(several.select("gram"), "gram", "left_semi"), "open-grams"), int(compared)
+
+
+def _tries(open_rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of each row of an open group with the nodes of other components that the group draws in this turn."""
+    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + i)).alias("draw"), F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("size_at").alias("hub_size_at"))).alias(f"hub_{i}") for i in range(HUBS)]
+    hubs = open_rows.groupBy("gram").agg(*drawn)
+    each = F.array_distinct(F.array(*(F.col(f"hub_{i}").dropFields("draw") for i in range(HUBS))))
+    met = open_rows.join(hubs.select("gram", F.inline(each)), "gram").filter(F.col("root") != F.col("hub_root"))
+    return met.filter(_possible(F.col("size_at"), F.col("hub_size_at"), percent)).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
 
 
 def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -263,7 +347,7 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     component_id does not tell components apart where ids are null or repeated; component_key does: the root node, or for a row without words its id and text_key.
     """
     scan = _scan(docs)
-    rows = scan.filter("counters is null").drop("counters")
+    rows = scan.filter("slice is null").drop("slice", "counters")
     twice = rows.filter("name is not null").groupBy("name").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").select("name").limit(MOST_COLLIDED + 1).collect()
     if len(twice) > MOST_COLLIDED:
         raise RuntimeError("too many sets share a name")
@@ -275,47 +359,51 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 node = [None if n is None else node_of(n, c, collided) for n, c in zip(b.column("name").to_pylist(), b.column("check").to_pylist(), strict=True)]
                 yield b.append_column("node", pa.array(node, pa.int64()))
 
-        rows = rows.mapInArrow(rename, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", node long")
+        rows = map_arrow(rows, rename, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", node long")
     else:
         rows = rows.withColumn("node", F.col("name"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_key")).alias("first")
-    nodes = save(rows.filter("node is not null").groupBy("node").agg(first), "nodes")
+    size = F.shiftleft(F.first("n_shingles"), 32).alias("size_at")
+    nodes = save(rows.filter("node is not null").groupBy("node").agg(first, size, *(F.first(c).alias(c) for c in PARITY)), "nodes")
+    bits = nodes.select("node", "size_at", *PARITY)
 
-    shared = _shared(_postings(docs, _rarity(scan), collided, percent))
+    met = _shared(_postings(docs, _rarity(scan), collided, percent), percent)
+    shared = met.filter("other is null").drop("other")
+    budget = COMPARED * nodes.count()
     tried = links = roots = None
-    for turn in range(STAR_ROUNDS + 1):
-        if roots is None:
-            open_rows = shared
-        else:  # groups whose nodes are in one component have nothing left to find
-            known = shared.select("gram", "node", "size_at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            several = known.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("turn"), "root", "node", "size_at")).alias("first"))
-            several = several.filter("lo <> hi").select("gram", F.col("first.node").alias("hub"), F.col("first.size_at").alias("hub_size_at"), F.col("first.root").alias("hub_root"))
-            open_rows = save(known.join(several, "gram"), "open-grams")
-        if turn < STAR_ROUNDS:
-            apart = F.col("node") != F.col("hub") if roots is None else F.col("root") != F.col("hub_root")
-            near = open_rows.filter(apart).filter(_possible(F.col("size_at"), F.col("hub_size_at"), percent)).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "node")
-            near = near.groupBy("node", "a", "b").agg(F.count("*").alias("grams"))
-            if tried is not None:
-                near = near.join(tried, ["a", "b"], "left_anti")
-            best = near.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("grams", "a", "b")).alias("best"))
-            fresh = save(best.select("best.a", "best.b").distinct(), "pairs")
+    before = float("inf")
+    for turn in range(ROUNDS + 1):
+        if turn == 0:
+            near = met.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
         else:
-            one, two = open_rows.alias("one"), open_rows.alias("two")
-            across = (F.col("one.node") < F.col("two.node")) & (F.col("one.root") != F.col("two.root")) & _possible(F.col("one.size_at"), F.col("two.size_at"), percent)
-            more = one.join(two, (F.col("one.gram") == F.col("two.gram")) & across).select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
-            more = more.distinct()
-            fresh = save(more if tried is None else more.join(tried, ["a", "b"], "left_anti"), "pairs")
+            open_rows, compared = _open(shared, roots)
+            if not compared:
+                break
+            last = turn == ROUNDS or compared <= budget or compared > 0.75 * before
+            before = compared
+            near = None if last else _tries(open_rows, turn, percent)
+        if near is not None:
+            near = near.distinct()
+            one, two = bits.alias("one"), bits.alias("two")
+            found = near.join(one, F.col("a") == F.col("one.node")).join(two, F.col("b") == F.col("two.node"))
+            found = found.filter(_overlap_possible("one", "two", percent)).select("a", "b")
+        else:
+            wide = open_rows.join(bits.drop("size_at"), "node")
+            one, two = wide.alias("one"), wide.alias("two")
+            across = (F.col("one.node") < F.col("two.node")) & (F.col("one.root") != F.col("two.root"))
+            across = across & _possible(F.col("one.size_at"), F.col("two.size_at"), percent) & _overlap_possible("one", "two", percent)
+            found = one.join(two, (F.col("one.gram") == F.col("two.gram")) & across).select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
+        fresh = save(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "pairs")
         if roots is None:
             roots = fresh.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-        if not fresh.take(1):
-            if not open_rows.take(1):
-                break
-            continue
-        found = _verified(fresh, nodes, docs, percent)
-        tried = fresh if tried is None else tried.unionByName(fresh)
-        if found.take(1):
-            links = found if links is None else links.unionByName(found)
-            roots = components(links)
+        if fresh.take(1):
+            linked = _verified(fresh, nodes, docs, percent)
+            tried = fresh if tried is None else tried.unionByName(fresh)
+            if linked.take(1):
+                links = linked if links is None else links.unionByName(linked)
+                roots = components(links)
+        if near is None:
+            break
 
     named = nodes.select("node", F.col("first.doc_id").alias("own")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("own").alias("component"))

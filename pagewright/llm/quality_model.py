@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import hash_sample, split_words, steps, word_hashes
+from pagewright.llm.common import hash_sample, map_arrow, split_words, steps, word_hashes
 from pagewright.llm.text_stats import text_counts
 
 #: Trusted positives and unlabelled texts that the model is fitted on in the mean (chosen by a hash of doc_id).
@@ -106,7 +106,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_positive: int = SAM
             x = features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("trusted"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "trusted", "x"])
 
-    rows = sorted(sample.select("doc_id", "trusted", "text").mapInArrow(extract, "doc_id string, trusted boolean, x binary").dropDuplicates(["doc_id", "trusted"]).collect())
+    rows = sorted(map_arrow(sample.select("doc_id", "trusted", "text"), extract, "doc_id string, trusted boolean, x binary").dropDuplicates(["doc_id", "trusted"]).collect())
     of = lambda trusted: np.frombuffer(b"".join(r.x for r in rows if r.trusted == trusted), np.float32).reshape(-1, WIDTH)
     weights = fit(of(True), of(False), prior)
 
@@ -116,5 +116,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_positive: int = SAM
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["doc_id", "score"])
 
     narrow = docs.select("doc_id", "text")
-    out = narrow.mapInArrow(score, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, score double")
+    out = map_arrow(narrow, score, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

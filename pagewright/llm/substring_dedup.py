@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import gram_hashes, mix, save, split_words, steps, word_hashes
+from pagewright.llm.common import gram_hashes, map_arrow, mix, save, split_words, steps, word_hashes
 from pagewright.llm.fm_index import FMIndex
 
 WINDOW, GRAM = 20, 8
@@ -114,7 +114,7 @@ def _occurrences(rows: DataFrame, window: int) -> DataFrame:
             keep = ~twin
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)[keep]), pa.array(s.view(np.int64)[keep], mask=again[keep]), pa.array(r[keep]), pa.array(p[keep])], ["anchor", "segment", "rid", "place"])
 
-    return rows.select("rid", "text").mapInArrow(run, "anchor long, segment long, rid long, place long")
+    return map_arrow(rows.select("rid", "text"), run, "anchor long, segment long, rid long, place long")
 
 
 def _classes(occurrences: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def _classes(occurrences: DataFrame) -> DataFrame:
             yield rows(False, *(np.array([x], np.int64) for x in held[:3]))
 
     dealt = occurrences.repartition("anchor").sortWithinPartitions("anchor", "segment", "rid", "place")
-    return save(dealt.mapInArrow(run, "repeat boolean, anchor long, rid long, place long"), "classes")
+    return save(map_arrow(dealt, run, "repeat boolean, anchor long, rid long, place long"), "classes")
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -190,7 +190,7 @@ def _texts(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.string())], ["shard", "rid", "place", "words"])
 
     joined = rows.select("rid", "text").join(lists, "rid")
-    return joined.select("rid", "text", "wanted").mapInArrow(run, "shard long, rid long, place long, words string")
+    return map_arrow(joined.select("rid", "text", "wanted"), run, "shard long, rid long, place long, words string")
 
 
 def _searched(texts: DataFrame, window: int, shard_words: int) -> DataFrame:
@@ -242,7 +242,7 @@ def _searched(texts: DataFrame, window: int, shard_words: int) -> DataFrame:
             yield repeats(held)
 
     dealt = texts.repartition("shard").sortWithinPartitions("shard", "rid", "place")
-    return save(dealt.mapInArrow(run, "rid long, place long"), "repeats")
+    return save(map_arrow(dealt, run, "rid long, place long"), "repeats")
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False, shard_words: int = SHARD_WORDS, most_segments: int = MOST_SEGMENTS) -> DataFrame:
@@ -288,4 +288,4 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False,
             yield pa.RecordBatch.from_arrays(cols, names)
 
     joined = rows.join(places, "rid", "left").withColumn("text_key", F.xxhash64("text"))
-    return joined.select("doc_id", "text", "text_key", "places").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", text_key long, kept_text string" * with_text)
+    return map_arrow(joined.select("doc_id", "text", "text_key", "places"), run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", text_key long, kept_text string" * with_text)

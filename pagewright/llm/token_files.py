@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import save, shared_dir, steps
+from pagewright.llm.common import map_arrow, save, shared_dir, steps
 from pagewright.llm.encoding import encoder, tokenizer_path
 
 BLOCK = 1024
@@ -165,7 +165,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
             flush()
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4, ["shard", "part", "n_ids", "n_docs"])
 
-    return save(dealt.select("doc_id", "text").mapInArrow(run, "shard long, part long, n_ids long, n_docs long"), "token-manifest")
+    return save(map_arrow(dealt.select("doc_id", "text"), run, "shard long, part long, n_ids long, n_docs long"), "token-manifest")
 
 
 def read_token_files(spark: SparkSession, path: str, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -191,7 +191,7 @@ def read_token_files(spark: SparkSession, path: str, manifest: DataFrame, with_i
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = files.mapInArrow(run, "shard long, part long, doc_id long, offset long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    out = map_arrow(files, run, "shard long, part long, doc_id long, offset long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
     before = W.orderBy("shard", "part").rowsBetween(W.unboundedPreceding, -1)
     bases = manifest.select("shard", "part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     return out.join(bases, ["shard", "part"]).select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import mix
+from pagewright.llm.common import map_arrow, mix
 
 #: The contract's rules.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -138,7 +138,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, label
                 got = _scores(part.column("host").to_pylist(), part.column("path").to_pylist(), weights, bias)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got)], ["page_id", "host", "path", "block_score"])
 
-    scored = cut.mapInArrow(run, f"page_id {kind}, host string, path string, block_score double")
+    scored = map_arrow(cut, run, f"page_id {kind}, host string, path string, block_score double")
     found = scored.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     model = F.when(F.col("block_score") > 0.5, "block").otherwise("allow")
     return found.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", model).alias("verdict"), "block_score")
