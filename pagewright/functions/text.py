@@ -17,9 +17,8 @@ def strip(c: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of two characters or more that are no stopwords; one per occurrence."""
-    stop = F.array(*(F.lit(w) for w in C.STOPWORDS))
     found = F.transform(F.regexp_extract_all(text, F.lit(C.TOKEN), F.lit(0)), lambda w: F.lower(w))
-    return F.filter(found, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(*C.STOPWORDS))
 
 
 def long_words(text: Column) -> Column:
@@ -65,8 +64,8 @@ def strip_code(text: Column) -> Column:
 
 
 def query_text(prompt: Column, cap: int = C.DEFAULTS.query_cap) -> Column:
-    """Italian elisions written with a hyphen are split, then the text is cut."""
-    return F.substring(F.regexp_replace(prompt, C.ELISION, "$1 "), 1, cap)
+    """Without outer white space, Italian elisions written with a hyphen are split, then the text is cut."""
+    return F.substring(F.regexp_replace(strip(prompt), C.ELISION, "$1 "), 1, cap)
 
 
 def field(front: Column, key: str) -> Column:
@@ -94,8 +93,8 @@ def front_map(raw: Column) -> Column:
 
 
 def indexed(raw: Column) -> Column:
-    """False where the page opts out of the index; an unreadable page counts as indexed."""
-    return F.coalesce(~raw.rlike(r"(?im)^index:\s*(false|no|off)\s*$"), F.lit(True))
+    """False where the page's frontmatter opts out of the index (a line of its body does not); an unreadable page counts as indexed."""
+    return F.coalesce(~front_block(raw).rlike(r"(?im)^index:\s*(false|no|off)\s*$"), F.lit(True))
 
 
 def stale(status: Column) -> Column:

@@ -14,6 +14,7 @@ from pagewright.operators import bm25 as B
 from pagewright.operators import rank as R
 from pagewright.operators import vectors as V
 from pagewright.sources import corpus as S
+from pagewright.sources.work import save, shared_dir
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,7 +61,8 @@ def chunks_of(s: SparkSession, d: str) -> DataFrame:
 
 
 def pool(s: SparkSession, d: str, k: int = C.DEFAULTS.bm25_top) -> DataFrame:
-    return B.search(queries_of(s, d), chunks_of(s, d), k).withColumnRenamed("chunk_id", "doc_id")
+    """The first ``k`` chunks of each query, saved: what is built on them reads them several times."""
+    return save(B.search(queries_of(s, d), chunks_of(s, d), k), "pool").withColumnRenamed("chunk_id", "doc_id")
 
 
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 5")
@@ -69,6 +71,13 @@ def bm25_topk(s, d):
     return pool(s, d, C.DEFAULTS.top).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("bm25_stored_topk", f"WITH {BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 5")
+def bm25_stored_topk(s, d):
+    """The same from an index that is written, read back and searched."""
+    index = B.read_index(s, B.write_index(chunks_of(s, d), shared_dir(s, "index")))
+    return B.search_index(queries_of(s, d), index, C.DEFAULTS.top).select("query_id", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query("bm25_index_vocab", f"WITH {BM25_SQL} SELECT w AS term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_tf FROM tf GROUP BY 1")
 def bm25_index_vocab(s, d):
     """A01 A02."""

@@ -96,7 +96,9 @@ def test_catalog_fields_and_relations():
     assert FM.catalog_fields(raw) == {"title": "A b", "note": "one two", "empty": ""}
     rel = "---\nname: e\nrelations:\n  hosted_on: \"[[b|B]]\"  # [[no]]\n  part_of:\n    - \"[[c#x]]\"\n    - '[[d]]'\n  depends_on: [\"[[e]]\", \"[[wiki/f]]\"]\nreplaced_by: [[g]]\n---\n"
     assert FM.relations(rel) == {"hosted_on": ["b"], "part_of": ["c", "d"], "depends_on": ["e", "wiki/f"], "replaced_by": ["g"]}
-    assert FM.relations("none") == {} and FM.without_comment("a '#' b #c") == "a '#' b " and FM.without_comment("[[p#s]]") == "[[p#s]]"
+    assert FM.relations("none") == {}
+    marks = "---\nrelations:\n  a: '[[x]] # [[y]]' # [[no]]\n  # [[no]]\n  b: [[p#s]] # [[no]]\n    c: [[deep]]\n  d:\nother:\n  e: [[no]]\n---"
+    assert FM.relations(marks) == {"a": ["x", "y"], "b": ["p", "deep"]}
 
 
 @pytest.mark.parametrize(
