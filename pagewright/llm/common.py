@@ -5,46 +5,23 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.sources.work import save, shared_dir, spread  # noqa: F401
+
 #: Bytes of text that one step of a Python function holds at once.
 STEP_BYTES = 2 << 20
 #: Bytes and rows of one Arrow batch that Spark sends to a Python function.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 4_000
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset on one machine (tests), below a temporary one.
-
-    On a cluster a folder of one machine would lose rows without an error, so there the setting is asked for.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
-        base = "file://" + tempfile.mkdtemp(prefix="pagewright-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``df.mapInArrow`` with small batches: where the session has Spark's own limits, they are lowered; limits that a user has set stay."""
     conf = df.sparkSession.conf

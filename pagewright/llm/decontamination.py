@@ -8,20 +8,22 @@ The automaton covers a bounded block of the benchmark; a larger benchmark is so
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import compact, cut_at_space, map_arrow, steps
+from pagewright.llm.common import compact, cut_at_space, map_arrow, save, steps
 
 WINDOW = 13
 #: Text bytes of one automaton: some tens of MB once built, whatever the benchmark's size.
 BLOCK_BYTES = 512 << 10
-#: Automata that a worker holds at once.
+#: Automata that a worker holds at once, and so the most that are broadcast at once.
 HELD = 4
 #: Each byte as a word byte, or blank: A-Z lower-cased, digits, a-z and all bytes above ASCII stay.
 _BYTES = np.full(256, 32, np.uint8)
@@ -164,61 +166,119 @@ class Automaton:
                     yield i + 1 - m, i + 1, [item]
 
 
-def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES, window: int = WINDOW) -> Iterator[Automaton]:
-    """Automata over bounded blocks of the items, dealt by a hash: the driver holds one block's text at a time."""
+def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES, window: int = WINDOW) -> tuple[int, Iterator[Automaton]]:
+    """How many bounded blocks of items there are, dealt by a hash, and their automata; the driver holds one block's text at a time."""
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").filter("text is not null")
     total = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes)
-    for k in range(blocks):
-        block = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct().toPandas().sort_values(["item_id", "text"])
-        words, starts = words_of(pa.array(block["text"], pa.string()))
-        words = words.to_pylist()
-        yield Automaton([(i, words[a:b]) for i, a, b in zip(block["item_id"], starts[:-1].tolist(), starts[1:].tolist(), strict=True)], window)
+
+    def built() -> Iterator[Automaton]:
+        for k in range(blocks):
+            block = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct().toPandas().sort_values(["item_id", "text"])
+            words, starts = words_of(pa.array(block["text"], pa.string()))
+            words = words.to_pylist()
+            yield Automaton([(i, words[a:b]) for i, a, b in zip(block["item_id"], starts[:-1].tolist(), starts[1:].tolist(), strict=True)], window)
+
+    return blocks, built()
+
+
+class Hits:
+    """What streams of a batch's texts through automata find: hit bounds and items by text."""
+
+    def __init__(self, texts: pa.Array):
+        self.words, self.starts = words_of(texts)
+        self.spans: dict[int, list[int]] = {}
+        self.items: dict[int, set[str]] = {}
+
+    def stream(self, a: Automaton, vocabulary: pa.Array) -> None:
+        codes = pc.fill_null(pc.index_in(self.words, value_set=vocabulary), -1).to_numpy(zero_copy_only=False) if a.vocabulary else np.full(len(self.words), -1)
+        for lo, hi in a.runs(codes, self.starts):
+            text = int(np.searchsorted(self.starts, lo, "right")) - 1
+            shift = lo - int(self.starts[text])
+            for x, y, ids in a.stream(codes[lo:hi].tolist()):
+                spans = self.spans.setdefault(text, [])
+                if spans and spans[-2] <= shift + x <= spans[-1]:
+                    spans[-1] = max(spans[-1], shift + y)
+                else:
+                    spans += [shift + x, shift + y]
+                self.items.setdefault(text, set()).update(ids)
+
+    def columns(self, with_text: bool) -> list[pa.Array]:
+        """``n_words, n_hit, n_items, items_sha256`` and, if asked for, ``kept_text``."""
+        edge = np.zeros(len(self.words) + 1, np.int32)
+        for text, spans in self.spans.items():
+            at = np.array(spans, np.int64).reshape(-1, 2) + self.starts[text]
+            np.add.at(edge, at[:, 0], 1)
+            np.add.at(edge, at[:, 1], -1)
+        covered = np.cumsum(edge[:-1]) > 0
+        n_hit = np.diff(np.concatenate(([0], np.cumsum(covered)))[self.starts])
+        ids = [sorted(self.items.get(i, ())) for i in range(len(n_hit))]
+        out = [pa.array(np.diff(self.starts)), pa.array(n_hit), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], pa.string())]
+        if with_text:
+            bounds = zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), n_hit.tolist(), strict=True)
+            out.append(pa.array([" ".join(self.words.slice(s, e - s).filter(pa.array(~covered[s:e])).to_pylist()) if h else None for s, e, h in bounds], pa.string()))
+        return out
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], automata: list[Broadcast]) -> Iterator[tuple[pa.RecordBatch, Hits]]:
+    held = [(x.value, pa.array(x.value.vocabulary, pa.large_string())) for x in automata]
+    for b in steps(batches, "text"):
+        hits = Hits(b.column("text"))
+        for a, vocabulary in held:
+            hits.stream(a, vocabulary)
+        yield b, hits
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, with_text: bool = False, with_key: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``n_words, n_hit, n_items, items_sha256, contaminated`` of every document, one row for each row of ``docs``; no shuffle.
+    """``n_words, n_hit, n_items, items_sha256, contaminated`` of every document, one row for each row of ``docs``.
 
     A document is contaminated where ``n_hit`` is above 0 and at least one ``share``-th of its words. ``with_text`` adds
     ``kept_text``, the words that are not hit joined by blanks (null where nothing is hit), ``with_key`` a hash of the text. Null texts have no
-    words; items without words match nothing; a null item_id counts as ``null``; equal item_ids count once.
+    words; items without words match nothing; a null item_id counts as ``null``; equal item_ids count once; other columns are not read; texts of any
+    length stream whole.
+
+    Up to :data:`HELD` blocks of items are broadcast at once. A benchmark of that size takes one pass without a shuffle; a
+    larger one a pass for each so many blocks, whose hits are saved and meet their documents in a last pass.
     """
     sc = docs.sparkSession.sparkContext
-    automata = [sc.broadcast(a) for a in item_blocks(items, block_bytes, window)]
+    blocks, built = item_blocks(items, block_bytes, window)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", *["kept_text"] * with_text, *["text_key"] * with_key]
+    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string" + ", kept_text string" * with_text + ", text_key long" * with_key
+
+    def row(b: pa.RecordBatch, hits: Hits) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), *hits.columns(with_text), *[b.column("text_key")] * with_key], names)
+
+    if blocks <= HELD:
+        automata = [sc.broadcast(a) for a in built]
+        out = map_arrow(source, lambda batches: (row(b, hits) for b, hits in _streamed(batches, automata)), schema)
+        return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabularies: dict[int, pa.Array] = {}
+    def passing(automata: list[Broadcast]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b, hits in _streamed(batches, automata):
+                at = sorted(hits.spans)
+                spans, ids = pa.array([hits.spans[i] for i in at], pa.list_(pa.int32())), pa.array([sorted(hits.items[i]) for i in at], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), b.column("text_key").take(pa.array(at, pa.int64())), spans, ids], ["id", "key", "spans", "items"])
+
+        return map_arrow(source, run, f"id {kind}, key long, spans array<int>, items array<string>").dropDuplicates(["id", "key"])
+
+    met = None
+    for _ in range(-(-blocks // HELD)):
+        automata = [sc.broadcast(a) for a in itertools.islice(built, HELD)]
+        found = save(passing(automata), "hits")
+        for a in automata:
+            a.destroy()
+        met = found if met is None else met.unionByName(found)
+    met = met.groupBy("id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    joined = source.join(met, source["doc_id"].eqNullSafe(met["id"]) & (source["text_key"] == met["key"]), "left").select("doc_id", "text", "text_key", "spans", "items")
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
-            words, starts = words_of(b.column("text"))
-            hit = np.zeros(len(words) + 1, np.int32)
-            found: dict[int, set[str]] = {}
-            for k, shared in enumerate(automata):
-                a = shared.value
-                if k not in vocabularies:
-                    vocabularies[k] = pa.array(a.vocabulary, pa.large_string())
-                codes = pc.fill_null(pc.index_in(words, value_set=vocabularies[k]), -1).to_numpy(zero_copy_only=False) if a.vocabulary else np.full(len(words), -1)
-                for lo, hi in a.runs(codes, starts):
-                    doc = int(np.searchsorted(starts, lo, "right")) - 1
-                    for x, y, ids in a.stream(codes[lo:hi].tolist()):
-                        hit[lo + x] += 1
-                        hit[lo + y] -= 1
-                        found.setdefault(doc, set()).update(ids)
-                if len(automata) > HELD:
-                    del shared._value  # read again from Spark's local copy when its turn comes
-            covered = np.cumsum(hit[:-1]) > 0
-            n_hit = np.diff(np.concatenate(([0], np.cumsum(covered)))[starts])
-            ids = [sorted(found.get(i, ())) for i in range(b.num_rows)]
-            cols = [b.column("doc_id"), pa.array(np.diff(starts)), pa.array(n_hit), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids])]
-            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"]
-            if with_text:
-                left = [" ".join(words.slice(s, e - s).filter(pa.array(~covered[s:e])).to_pylist()) if h else None for s, e, h in zip(starts[:-1].tolist(), starts[1:].tolist(), n_hit.tolist(), strict=True)]
-                cols.append(pa.array(left, pa.string()))
-                names.append("kept_text")
-            if with_key:
-                cols.append(b.column("text_key"))
-                names.append("text_key")
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    out = map_arrow(docs.select("doc_id", "text", *[F.xxhash64("text").alias("text_key")] * with_key), run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string" + ", kept_text string" * with_text + ", text_key long" * with_key)
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+            hits = Hits(b.column("text"))
+            hits.spans = {i: x for i, x in enumerate(b.column("spans").to_pylist()) if x}
+            hits.items = {i: set(x) for i, x in enumerate(b.column("items").to_pylist()) if x}
+            yield row(b, hits)
+
+    return map_arrow(joined, last, schema).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

@@ -5,15 +5,17 @@ space with white space after it. So a text may be cut before each run of white s
 every unit (white space, then other characters) has the same ids alone as in its text.
 Units recur, so a worker encodes each one once. Unseen units that are letters and then signs go to
 the library's model as these two parts; others go to the library together, in strings of
-bounded size that are joined by line ends, which are a token of their own.
-Other kinds of tokenizers get whole texts.
+bounded size that are joined by line ends, which are a token of their own. A long unit, as in texts without
+white space, is cut further where a letter, a digit and a sign meet, which the pattern always parts; only a run of one
+class has no safe boundary and goes to the library whole. Other kinds of tokenizers get whole texts.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
 from itertools import filterfalse
 
@@ -29,8 +31,13 @@ _ANY_SPACE = re.compile(f"[{_SPACE}]")
 #: A unit that is letters and then signs: the pattern always parts them. Fixed ranges of \\p{L} and ASCII signs.
 _STEM = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
 _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-#: Units that a worker keeps; further ones are encoded again for each batch.
-MEMO_UNITS = 500_000
+#: What a worker keeps: so many units and so many bytes of them, none longer than so many characters. Others are encoded again for each batch.
+MEMO_UNITS, MEMO_BYTES, MEMO_CHARS = 500_000, 64 << 20, 64
+#: A longer unit is cut where the pattern always parts its neighbours, so that the library gets strings of about so many characters.
+CUT_CHARS = 1 << 14
+#: Fixed ranges: letters (ASCII, Chinese, kana), digits and signs whose class no Unicode version changes; the apostrophe is left out, as it may belong to what follows.
+_L, _N, _S = "A-Za-zぁ-ゖァ-ヺ一-龥", "0-9", "!-&(-/:-@\\[-`{-~、-〃「-』！，：；？"
+_SAFE_CUT = re.compile(f"(?<=[{_L}])(?=[{_N}{_S}])|(?<=[{_N}])(?=[{_L}{_S}])|(?<=[{_S}])(?=[{_L}{_N}])")
 #: Characters that go to the library in one string.
 JOIN_CHARS = 1 << 14
 
@@ -63,11 +70,16 @@ class UnitEncoder:
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(shown))}
         self.memo: dict[str, bytes | None] = {}
         self.odd: dict[str, bytes] = {}
+        self.held = 0
 
     def _plain(self, strings: Sequence[str]) -> list[bytes]:
         out: list[bytes] = []
-        for lo in range(0, len(strings), 64):
-            out += [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(list(strings[lo : lo + 64]), add_special_tokens=False)]
+        held: list[str] = []
+        for i, s in enumerate(strings):
+            held.append(s)
+            if len(held) == 64 or i == len(strings) - 1 or sum(map(len, held)) > 4 * CUT_CHARS:
+                out += [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(held, add_special_tokens=False)]
+                held = []
         return out
 
     def _alone(self, strings: list[str]) -> list[bytes]:
@@ -93,11 +105,30 @@ class UnitEncoder:
                 out += [parts[a:b] for a, b in zip(lows, highs, strict=True)]
         return out
 
+    def _cut(self, unit: str) -> bytes:
+        """Ids of a unit without added tokens; a long one goes to the library in parts."""
+        at, parts = 0, []
+        while len(unit) - at > CUT_CHARS and (m := _SAFE_CUT.search(unit, at + CUT_CHARS)):
+            parts.append(unit[at : m.start()])
+            at = m.start()
+        parts.append(unit[at:])
+        return b"".join(self._plain([x])[0] for x in parts)
+
+    def _keep(self, memo: dict, units: Iterable[str]) -> None:
+        """Of units that a memo has just learned, those stay that are short and fit in its bounds."""
+        for u in units:
+            if len(u) > MEMO_CHARS or len(memo) > self.memo_units or self.held > MEMO_BYTES:
+                del memo[u]
+            else:
+                self.held += 2 * sys.getsizeof(u) + 100
+
     def _part(self, part: str) -> bytes:
         """Ids of a part that the pattern keeps together."""
         got = self.parts.get(part)
         if got is None:
-            if len(self.parts) >= self.memo_units:
+            if len(part) > MEMO_CHARS:
+                return self._plain([part])[0]
+            if len(self.parts) >= self.memo_units // 4:
                 self.parts.clear()
             word = part.encode().decode("latin-1").translate(self.shown)
             got = self.parts[part] = np.array([t.id for t in self.model.tokenize(word)], self.dtype).tobytes()
@@ -116,6 +147,8 @@ class UnitEncoder:
                 stem, signs = m.groups()
                 ids = self._part(stem if u[:1] == "\n" else " " + stem) + (self._part(signs) if signs else b"")
                 self.memo[u] = self.line_bytes + ids if u[:1] == "\n" else ids
+            elif len(body) > CUT_CHARS:
+                self.memo[u] = self.line_bytes + self._cut(body) if u[:1] == "\n" else self._cut(" " + u)
             else:
                 safe.append(u)
                 strings.append(body if u[:1] == "\n" else " " + u)
@@ -128,10 +161,12 @@ class UnitEncoder:
         """Texts with other white space, or two such characters in a row: cut before each run."""
         units = _UNIT.findall(text)
         new = list(dict.fromkeys(u for u in units if u not in self.odd))
-        self.odd.update(zip(new, self._plain(new), strict=True))
+        long = [u for u in new if len(u) > CUT_CHARS and not any(t in u for t in self.added)]
+        self.odd.update((u, self._cut(u)) for u in long)
+        rest = [u for u in new if u not in self.odd]
+        self.odd.update(zip(rest, self._plain(rest), strict=True))
         out = b"".join(map(self.odd.__getitem__, units))
-        if len(self.odd) > self.memo_units // 8:
-            self.odd.clear()
+        self._keep(self.odd, new)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +182,7 @@ class UnitEncoder:
         unseen = set(filterfalse(self.memo.__contains__, units))
         self._learn(unseen)
         each = [self.memo[u] for u in units]
-        if len(self.memo) > self.memo_units:
-            for u in unseen:
-                del self.memo[u]
+        self._keep(self.memo, unseen)
         unsafe = np.fromiter((x is None for x in each), bool, len(each))
         flat, starts = self._gather([x or b"" for x in each])
         low, n = starts[:-1][codes], np.diff(starts)[codes]

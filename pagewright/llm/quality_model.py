@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import hash_sample, map_arrow, split_words, steps, word_hashes
 from pagewright.llm.text_stats import text_counts
 
-#: Trusted positives and unlabelled texts that the model is fitted on in the mean (chosen by a hash of doc_id).
+#: Trusted positives and unlabelled texts that the model is fitted on in the mean (chosen by a hash of doc_id). The unlabelled sample is as much part of
+#: a bounded fit as the labelled one; statistics of the corpus are not taken from it, and scoring covers every text.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 5_000, 5_000
 #: Buckets of hashed words.
 WORD_BUCKETS = 256
@@ -53,28 +54,64 @@ def features(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, turns: int = 400, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Weights that minimise the non-negative unbiased risk with the logistic loss, by full-batch Adam.
-
-    risk = prior * mean_P loss(+) + max(0, mean_U loss(-) - prior * mean_P loss(-)); where the second
-    part is negative, its gradient is reversed, as in the published method.
-    """
-    w = np.zeros(positive.shape[1])
-    m, s = np.zeros_like(w), np.zeros_like(w)
-    if not len(positive) or not len(unlabelled):
-        return w
+def descend(gradient: Callable[[np.ndarray], np.ndarray], width: int, turns: int = 400, rate: float = 0.05) -> np.ndarray:
+    """Full-batch Adam from zero."""
+    w, m, s = np.zeros(width), np.zeros(width), np.zeros(width)
     for turn in range(1, turns + 1):
-        zp, zu = positive @ w, unlabelled @ w
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_pos = prior * (positive.T @ (sp - 1)) / len(zp)
-        g_neg = unlabelled.T @ su / len(zu) - prior * (positive.T @ sp) / len(zp)
-        g = (g_pos + g_neg if negative >= 0 else -g_neg) + decay * w
+        g = gradient(w)
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(s / (1 - 0.999**turn)) + 1e-8)
+        w = w - rate * (m / (1 - 0.9**turn)) / (np.sqrt(s / (1 - 0.999**turn)) + 1e-8)
     return w
 
 
+def risk(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two parts of the unbiased risk under the logistic loss, and their gradients.
+
+    The first is prior * mean_P loss(+); the second, mean_U loss(-) - prior * mean_P loss(-), stands for the risk on negatives.
+    """
+    zp, zu = positive @ w, unlabelled @ w
+    sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+    on_positive = prior * np.logaddexp(0, -zp).mean()
+    on_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    return on_positive, on_negative, prior * (positive.T @ (sp - 1)) / len(zp), unlabelled.T @ su / len(zu) - prior * (positive.T @ sp) / len(zp)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, decay: float = 1e-4) -> np.ndarray:
+    """Weights that minimise the non-negative risk: where the part on negatives falls below 0, its gradient is reversed, as in the published method."""
+    if not len(positive) or not len(unlabelled):
+        return np.zeros(positive.shape[1])
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        _, on_negative, g_pos, g_neg = risk(w, positive, unlabelled, prior)
+        return (g_pos + g_neg if on_negative >= 0 else -g_neg) + decay * w
+
+    return descend(gradient, positive.shape[1])
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, decay: float = 1e-3, slack: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from both samples and no negative label.
+
+    A classifier of positives against unlabelled is fitted on one half of each. On the other half, the share of unlabelled
+    above a score over the share of positives above it is no less than the prior, and is the prior where
+    only positives score so high; the score is chosen where this ratio and its confidence bound (at ``slack``) are least.
+    """
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    p, u, held_p, held_u = positive[::2], unlabelled[::2], positive[1::2], unlabelled[1::2]
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        sp, su = 1 / (1 + np.exp(-(p @ w))), 1 / (1 + np.exp(-(u @ w)))
+        return p.T @ (sp - 1) / len(p) + u.T @ su / len(u) + decay * w
+
+    w = descend(gradient, positive.shape[1], turns=200)
+    zp, zu = np.sort(held_p @ w), np.sort(held_u @ w)
+    above_p = 1 - np.searchsorted(zp, zp) / len(zp)
+    above_u = 1 - np.searchsorted(zu, zp) / len(zu)
+    bound = sum(np.sqrt(np.log(4 / slack) / (2 * n)) for n in (len(zp), len(zu)))
+    best = int(np.argmin((above_u + bound) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows whose labels are never learned from: crc32 of the id as text leaves 1 modulo 3. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -83,14 +120,12 @@ def held_out(doc_id: str = "doc_id"):
 def score_quality(docs: DataFrame, labels: DataFrame, sample_positive: int = SAMPLE_POSITIVE, sample_unlabelled: int = SAMPLE_UNLABELLED) -> DataFrame:
     """``held_out, score, predicted`` of every whole text, one row for each row of ``docs``.
 
-    The class prior is the share of positives among the labels that may be learned from. The
-    two samples are bounded, chosen by a hash over all ids, one row an id (that with the least hash of its text), and the only data that reach the driver;
+    The class prior is estimated from the trusted positives and the unlabelled texts (:func:`estimate_prior`); labels of class 0 are
+    never used. ``class_prior`` says what it came to. The two samples are bounded, chosen by a hash over all ids, one row an id (that with the least hash of its text), and the only data that reach the driver;
     scoring is one pass without a shuffle. Without positives every score is 0.5. Null texts count as
     empty and are scored; labels without a class are left out; of repeated labels the lowest counts.
     """
     taught = labels.filter("quality is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    shares = taught.agg(F.avg((F.col("quality") >= 1).cast("double")).alias("p")).first()
-    prior = min(0.99, max(0.01, shares["p"] if shares["p"] is not None else 0.5))
     chosen_p = hash_sample(taught.filter("quality >= 1"), sample_positive, salt=6).select("doc_id", F.lit(True).alias("trusted"))
     ids = docs.select("doc_id").filter(~held_out() & F.col("doc_id").isNotNull()).distinct()
     chosen_u = hash_sample(ids, sample_unlabelled, salt=7).select("doc_id", F.lit(False).alias("trusted"))
@@ -108,6 +143,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_positive: int = SAM
 
     rows = sorted(map_arrow(sample.select("doc_id", "trusted", "text"), extract, "doc_id string, trusted boolean, x binary").dropDuplicates(["doc_id", "trusted"]).collect())
     of = lambda trusted: np.frombuffer(b"".join(r.x for r in rows if r.trusted == trusted), np.float32).reshape(-1, WIDTH)
+    prior = estimate_prior(of(True), of(False))
     weights = fit(of(True), of(False), prior)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,4 +153,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_positive: int = SAM
 
     narrow = docs.select("doc_id", "text")
     out = map_arrow(narrow, score, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, score double")
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.lit(prior).alias("class_prior"))

@@ -41,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_ngram_jaccard_join": oracles.JACCARD_JOIN,
+        "op5_warc_archive": oracles.WARC_ARCHIVE,
         "op7_benchmark_decontamination": oracles.DECONTAMINATION,
         "op10_substring_dedup": oracles.SUBSTRING_DEDUP,
     }

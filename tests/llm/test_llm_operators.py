@@ -270,6 +270,22 @@ def test_decontamination(spark, seed, block):
     assert find_contamination(frame(spark, docs), spark.createDataFrame([], "item_id long, text string")).filter("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_decontamination_removes_spans(spark, block):
+    """Both ways (one pass; several, for a larger benchmark) on whole texts, long ones too: the words that no item's window covers stay."""
+    r = random.Random(block)
+    items = [(i, " ".join(f"w{r.randrange(40)}" for _ in range(20))) for i in range(12)]
+    filler = lambda n: " ".join(f"f{r.randrange(9)}" for _ in range(n))
+    docs = [(1, f"{filler(5)} {items[0][1]} {filler(3)}"), (2, filler(9)), (3, f"{filler(60_000)} {items[5][1].upper()}, {filler(4)}"), (4, items[7][1] + " " + items[8][1]), (5, None), (1, "another text, one id")]
+    got = {(x.doc_id, x.n_words): x for x in find_contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), with_text=True, block_bytes=block).collect()}
+    assert len(got) == 6
+    whole = lambda k: docs[k][1].lower().replace(",", "").split(" ")
+    assert got[1, 28].kept_text == " ".join(whole(0)[:5] + whole(0)[25:]) and got[1, 28].contaminated and got[1, 28].n_hit == 20
+    assert got[3, 60_024].kept_text == " ".join(whole(2)[:60_000] + whole(2)[60_020:]) and not got[3, 60_024].contaminated
+    assert got[4, 40].kept_text == "" and got[4, 40].n_items == 2
+    assert got[2, 9].kept_text is None and got[5, 0].kept_text is None and got[1, 4].kept_text is None
+
+
 def test_quality_rules(spark):
     r = random.Random(12)
     good = [(i, "\n".join(" ".join("".join(r.choice("abcdefg") for _ in range(r.randint(2, 8))) for _ in range(12)) for _ in range(5))) for i in range(200)]
@@ -304,6 +320,40 @@ def test_quality_model_on_held_out_labels(spark):
     assert {r.score for r in score_quality(docs.limit(3), labels.limit(0)).collect()} == {0.5}
 
 
+def test_risk_gradient_and_prior():
+    r = np.random.default_rng(6)
+    p, u, w = r.normal(1, 1, (40, 5)), r.normal(0, 1, (60, 5)), r.normal(0, 0.5, 5)
+    for which, grad in ((0, 2), (1, 3)):
+        got = quality_model.risk(w, p, u, 0.4)[grad]
+        for i in range(5):
+            d = np.eye(5)[i] * 1e-5
+            assert abs((quality_model.risk(w + d, p, u, 0.4)[which] - quality_model.risk(w - d, p, u, 0.4)[which]) / 2e-5 - got[i]) < 1e-6
+    for share in (0.2, 0.5, 0.8):
+        good = lambda n: np.hstack((r.normal(3, 1, (n, 3)), np.ones((n, 1))))
+        bad = lambda n: np.hstack((r.normal(-3, 1, (n, 3)), np.ones((n, 1))))
+        mixed = r.permutation(np.vstack((good(int(2000 * share)), bad(2000 - int(2000 * share)))))
+        assert abs(quality_model.estimate_prior(good(2000), mixed) - share) < 0.08
+    assert quality_model.estimate_prior(p[:0], u) == 0.5
+
+
+def test_texts_without_white_space(library):
+    """Memory that a worker keeps stays flat over long units, and their ids are the library's."""
+    r = random.Random(9)
+    encoder = UnitEncoder(tokenizer_path("byte_bpe_50k.json"))
+    make = lambda kinds, n: "".join(r.choice(kinds) for _ in range(n))
+    kinds = ["春夏秋冬山川草木，。", "abcXYZ0123+/=", "a'b's1!'", "ワタシはねこ、12", "é%ñ&1x"]
+    texts = [make(k, n) for k in kinds for n in (3, 3000, 60_000)] + ["x" * 40_000, "\u3000" + make(kinds[0], 40_000), "a  " + make(kinds[1], 40_000)]
+    got, starts = encoder.encode(pa.array(texts))
+    for t, lo, hi in zip(texts, starts[:-1], starts[1:], strict=True):
+        assert got[lo:hi].tolist() == library.encode(t, add_special_tokens=False).ids
+    for _ in range(20):
+        encoder.encode(pa.array([make(kinds[0], 3000) for _ in range(50)]))
+    assert all(len(u) <= 64 for memo in (encoder.memo, encoder.odd, encoder.parts) for u in memo)
+    assert sum(len(u) + len(x or b"") for memo in (encoder.memo, encoder.odd, encoder.parts) for u, x in memo.items()) < 1 << 20
+    five = make(kinds[0], 1_700_000)  # 5 MB
+    assert encoder.counts(pa.array([five]))[0] == len(library.encode(five, add_special_tokens=False).ids)
+
+
 def test_token_file_round_trip():
     r = np.random.default_rng(13)
     for n in (0, 1, 1023, 1024, 5000):
