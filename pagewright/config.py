@@ -37,6 +37,8 @@ INVERSE_PAIRS = (
 INVERSE_FREE = ("depends_on", "part_of", "related_to")
 GRAPH_TYPES = ("entity", "source")
 IDEA_KINDS = ("automation", "simplification", "synergy", "experiment", "question")
+IDEA_FIELDS = ("title", "idea", "first_step", "quote_a", "quote_b")
+PAIR_RELATIONS = ("contradiction", "stale", "duplicate")
 #: Patterns. Written so that Java and RE2 read them alike.
 TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_'\-]*"
 WORD4 = r"[\p{L}\p{N}_][\p{L}\p{N}_'\-]{3,}"
@@ -55,7 +57,7 @@ SEED_SKIP = r"^wiki/(meta/profile/|overview\.md)"
 
 @dataclass(frozen=True)
 class Settings:
-    """Every tunable of the engine, the reference values as defaults."""
+    """Every tunable of the engine. The defaults."""
 
     k1: float = 1.5
     b: float = 0.75
@@ -80,6 +82,7 @@ class Settings:
     stale_days: int = 90
     hot_bytes: int = 7168
     log_lines: int = 500
+    tiling_chars: int = 5500
     tiling_bytes: int = 128 * 1024
     tiling_warn: int = 500
     tiling_fail: int = 5000
@@ -91,6 +94,7 @@ class Settings:
     regrow_dated: int = 3
     quote_chars: int = 15
     log_keep: int = 500
+    log_bytes: int = 256 * 1024
 
 
 DEFAULTS = Settings()

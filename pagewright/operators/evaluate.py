@@ -116,3 +116,35 @@ def fold(log: DataFrame, folded: DataFrame, k: int) -> DataFrame:
 def keep_last(log: DataFrame, order: list[str], rows: int = C.DEFAULTS.log_keep) -> DataFrame:
     """The log's last rows after rotation."""
     return log.orderBy(*(F.col(c).desc() for c in order)).limit(rows)
+
+
+def rotated(log: DataFrame, line: Column, order: list[str], settings: C.Settings = C.DEFAULTS) -> DataFrame:
+    """The log as it is while its lines have at most ``log_bytes`` bytes (with their ends), else its last ``log_keep`` rows."""
+    size = log.agg(F.sum(F.octet_length(line) + 1)).first()[0] or 0
+    return keep_last(log, order, settings.log_keep) if size > settings.log_bytes else log
+
+
+def idea_fault(settings: C.Settings = C.DEFAULTS) -> Column:
+    """Why an idea is dropped, null if it is kept: shape, then kind, then each quote's length and place on its own side.
+
+    Columns: ``title, idea, first_step, quote_a, quote_b, kind, text_a, text_b``.
+    """
+    missing = [F.when(F.coalesce(X.strip(F.col(f)), F.lit("")) == "", f"missing {f}") for f in C.IDEA_FIELDS]
+    kind = F.when(~F.coalesce(F.col("kind").isin(*C.IDEA_KINDS), F.lit(False)), F.concat(F.lit("kind "), F.coalesce("kind", F.lit("none"))))
+    quotes = []
+    for side in ("a", "b"):
+        q = X.quote_norm(F.col(f"quote_{side}"))
+        quotes.append(F.when(F.length(q) < settings.quote_chars, f"quote_{side} too short"))
+        quotes.append(F.when(~F.contains(X.quote_norm(F.col(f"text_{side}")), q), f"quote_{side} not in passage {side.upper()}"))
+    return F.coalesce(*missing, kind, *quotes)
+
+
+def verdict_kept() -> Column:
+    """a judge's verdict counts only with a known relation and both quotes verbatim on their sides."""
+    verbatim = [F.contains(X.quote_norm(F.col(f"text_{x}")), X.quote_norm(F.col(f"quote_{x}"))) & (X.quote_norm(F.col(f"quote_{x}")) != "") for x in ("a", "b")]
+    return F.coalesce(F.col("relation").isin(*C.PAIR_RELATIONS) & verbatim[0] & verbatim[1], F.lit(False))
+
+
+def proposal_order(ideas: DataFrame, cosine: str = "nearest") -> DataFrame:
+    """Proposals from the farthest to the nearest to what there is; one without a cosine counts as 0."""
+    return ideas.withColumn("place", F.row_number().over(W.orderBy(F.coalesce(cosine, F.lit(0.0)), "idea_id")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewright import config as C
 from pagewright.functions import text as X
+from pagewright.sources.work import save
 
 
 def wikilinks(pages: DataFrame, path: str = "page_path", raw: str = "raw") -> DataFrame:
@@ -110,6 +111,35 @@ def address_owner(pages: DataFrame) -> DataFrame:
     return claimed.unionByName(bare).withColumn("address", F.when(F.col("turn") == 1, F.col("declared")).otherwise(X.synthetic_address(F.col("page_path"))))
 
 
+def consolidation_scope(pages: DataFrame) -> DataFrame:
+    """Pages of the folders that are consolidated, without stale and unindexed ones."""
+    folder = F.regexp_extract("page_path", r"^(.*)/[^/]*$", 1)
+    inside = F.coalesce(*(F.when((folder == x) | folder.startswith(x + "/"), F.lit(True)) for x in C.CONSOLIDATION_SCOPE), F.lit(False))
+    return pages.filter(inside & ~X.stale(F.col("status")) & X.indexed(F.col("raw")))
+
+
+def tiling_reason(settings: C.Settings = C.DEFAULTS) -> Column:
+    """The first reason that keeps a file out of a tiling scan, or ``included``.
+
+    Columns: ``is_link``, ``inside`` (its real path lies below the root), ``readable``, ``n_bytes``, ``page_path``, ``type``. A link is
+    never read, nor is what lies outside.
+    """
+    path = F.col("page_path")
+    prefix = F.coalesce(*(F.when(path.startswith(x), F.lit(f"under {x}")) for x in C.TILING_SKIP_PREFIXES))
+    kind = F.when(F.col("type").isin(*C.TILING_SKIP_TYPES), F.concat(F.lit("type="), "type"))
+    guards = (
+        F.when(F.col("is_link"), "symlink"), F.when(~F.col("inside"), "escapes vault"), F.when(~F.col("readable"), "read_error"), F.when(F.col("n_bytes") > settings.tiling_bytes, "too_large"),
+        F.when(X.page_name(path).isin(*C.TILING_SKIP_NAMES), "excluded filename"),
+    )
+    return F.coalesce(*guards, prefix, kind, F.lit("included"))
+
+
+def scan_scale(files: DataFrame, settings: C.Settings = C.DEFAULTS) -> DataFrame:
+    """One row: how many files a scan would take, and whether that is ``ok``, worth a warning or too many."""
+    n = F.col("files")
+    return files.agg(F.count("*").alias("files")).withColumn("status", F.when(n > settings.tiling_fail, "fail").when(n > settings.tiling_warn, "warn").otherwise("ok"))
+
+
 def next_addresses(pages: DataFrame) -> DataFrame:
     """Numbers after the largest address that any first frontmatter block holds, in order of path.
 
@@ -117,7 +147,7 @@ def next_addresses(pages: DataFrame) -> DataFrame:
     """
     number = F.regexp_extract(X.front_block(F.col("raw")), r"(?dm)^address:[ \t]*c-(\d{6})[ \t]*$", 1)
     top = pages.agg(F.coalesce(F.max(F.when(number != "", number.cast("long"))), F.lit(0)).alias("top"))
-    bare = pages.filter(number == "").select("page_path").repartitionByRange("page_path").sortWithinPartitions("page_path").withColumn("part", F.spark_partition_id())
+    bare = save(pages.filter(number == "").select("page_path").repartitionByRange("page_path").withColumn("part", F.spark_partition_id()), "ranged")
     sizes = bare.groupBy("part").count()
     before = sizes.select("part", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     turn = F.row_number().over(W.partitionBy("part").orderBy("page_path"))

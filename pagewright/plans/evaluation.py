@@ -90,7 +90,7 @@ be AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY n D
 SELECT tx.query_id, tx.page, round(tx.a, 4) AS feature, CASE WHEN len(m) > 220 THEN rtrim(substr(m, 1, 220), ' ') || '…' ELSE m END AS excerpt FROM tx JOIN (SELECT *, regexp_replace(replace(replace(l, '**', ''), '`', ''), '\\s+', ' ', 'g') AS m FROM be) be ON be.query_id = tx.query_id AND be.chunk_id = tx.chunk_id AND be.t = 1""",
 )
 def recall_pointers(s, d):
-    """P19 P20 P23 W04 K15."""
+    """Pages and excerpts; the section and the text form of a gate are ``text.first_heading`` and ``sinks.pointers_text``."""
     ps = E.picks(gate_candidates(s, d), "a", THRESHOLD).join(B.small(prompts(s, d).filter("not trivial").select("query_id", "prompt")), "query_id")
     tx = ps.join(P.chunks_of(s, d), "chunk_id")
     e = E.excerpts(tx, ["query_id", "chunk_id"])
@@ -277,6 +277,55 @@ def recall_log_retention(s, d):
     return E.keep_last(S.table(s, d, "events").select("event_id", "ts"), ["ts", "event_id"])
 
 
+@query("recall_log_rotated", "WITH l AS (SELECT event_id, ts, strlen(props) + 1 AS n FROM events), z AS (SELECT sum(n) AS size FROM l) SELECT event_id, ts FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS t FROM l), z WHERE size <= 262144 OR t <= 500")
+def recall_log_rotated(s, d):
+    """Rotation only once the log is large."""
+    log = S.table(s, d, "events").select("event_id", "ts", "props")
+    return E.rotated(log, F.col("props"), ["ts", "event_id"]).select("event_id", "ts")
+
+
+#: Ideas made from documents (side a) and items (side b); classes of ids lack a field, have an unknown kind or other quotes.
+IDEAS_SQL = """j AS (SELECT d.doc_id, d.text AS text_a, b.text AS text_b FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+ideas AS (SELECT doc_id AS idea_id, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE 'T' END AS title, CASE WHEN doc_id % 13 <> 0 THEN 'I' END AS idea, 'F' AS first_step, CASE WHEN doc_id % 5 = 0 THEN 'invention' WHEN doc_id % 7 <> 0 THEN 'synergy' END AS kind,
+  substr(text_a, 1, 10 + CAST(doc_id % 30 AS INTEGER)) AS quote_a, CASE WHEN doc_id % 3 = 0 THEN 'words that no item has in it' ELSE substr(text_b, 3, 30) END AS quote_b, CASE doc_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'stale' WHEN 2 THEN 'duplicate' END AS relation, text_a, text_b FROM j)"""
+_NORM_SQL = "lower(trim(regexp_replace(replace(replace(replace({}, '**', ''), '__', ''), '`', ''), '\\s+', ' ', 'g')))"
+
+
+def ideas(s: SparkSession, d: str) -> DataFrame:
+    b = S.table(s, d, "benchmark")
+    k = F.col("idea_id")
+    j = S.table(s, d, "documents").select(F.col("doc_id").alias("idea_id"), F.col("text").alias("text_a"), (F.col("doc_id") % b.count()).alias("item_id")).join(B.small(b.select("item_id", F.col("text").alias("text_b"))), "item_id")
+    relation = F.when(k % 4 == 0, "none").when(k % 4 == 1, "stale").when(k % 4 == 2, "duplicate")
+    return j.select(
+        "idea_id", F.when(k % 11 == 0, " ").otherwise("T").alias("title"), F.when(k % 13 != 0, "I").alias("idea"), F.lit("F").alias("first_step"), F.when(k % 5 == 0, "invention").when(k % 7 != 0, "synergy").alias("kind"),
+        F.substring(F.col("text_a"), F.lit(1), (10 + k % 30).cast("int")).alias("quote_a"), F.when(k % 3 == 0, "words that no item has in it").otherwise(F.substring("text_b", 3, 30)).alias("quote_b"), relation.alias("relation"), "text_a", "text_b",
+    )
+
+
+@query(
+    "idea_check",
+    f"""WITH {IDEAS_SQL}, n AS (SELECT *, {_NORM_SQL.format('quote_a')} AS qa, {_NORM_SQL.format('quote_b')} AS qb, {_NORM_SQL.format('text_a')} AS ta, {_NORM_SQL.format('text_b')} AS tb FROM ideas)
+SELECT idea_id, CASE WHEN trim(coalesce(title, '')) = '' THEN 'missing title' WHEN trim(coalesce(idea, '')) = '' THEN 'missing idea' WHEN trim(coalesce(quote_a, '')) = '' THEN 'missing quote_a' WHEN trim(coalesce(quote_b, '')) = '' THEN 'missing quote_b'
+  WHEN kind IS NULL OR kind NOT IN ({', '.join(f"'{x}'" for x in C.IDEA_KINDS)}) THEN 'kind ' || coalesce(kind, 'none') WHEN len(qa) < 15 THEN 'quote_a too short' WHEN NOT contains(ta, qa) THEN 'quote_a not in passage A' WHEN len(qb) < 15 THEN 'quote_b too short' WHEN NOT contains(tb, qb) THEN 'quote_b not in passage B' END AS fault FROM n""",
+)
+def idea_check(s, d):
+    """Shape, kind and quotes of proposed ideas."""
+    return ideas(s, d).select("idea_id", E.idea_fault().alias("fault"))
+
+
+@query("verdict_check", f"WITH {IDEAS_SQL} SELECT idea_id, coalesce(relation IN ('contradiction', 'stale', 'duplicate') AND {_NORM_SQL.format('quote_a')} <> '' AND {_NORM_SQL.format('quote_b')} <> '' AND contains({_NORM_SQL.format('text_a')}, {_NORM_SQL.format('quote_a')}) AND contains({_NORM_SQL.format('text_b')}, {_NORM_SQL.format('quote_b')}), false) AS kept FROM ideas")
+def verdict_check(s, d):
+    """verdicts with a known relation and quotes on both sides."""
+    return ideas(s, d).select("idea_id", E.verdict_kept().alias("kept"))
+
+
+@query("proposal_order", f"WITH {P.VEC_SQL}, i AS (SELECT label AS idea_id, CASE WHEN label % 4 <> 0 THEN max(round(v[1], 6)) END AS nearest FROM e GROUP BY 1) SELECT idea_id, nearest, row_number() OVER (ORDER BY coalesce(nearest, 0), idea_id) AS place FROM i")
+def proposal_order(s, d):
+    """Ten proposals, some without a nearest cosine."""
+    made = P.vectors(s, d).groupBy(F.col("label").alias("idea_id")).agg(F.max(F.round(F.element_at("vector", 1), 6)).alias("top"))
+    return E.proposal_order(made.select("idea_id", F.when(F.col("idea_id") % 4 != 0, F.col("top")).alias("nearest"))).withColumn("place", F.col("place").cast("long"))
+
+
 @query("quote_check", "WITH p AS (SELECT d.doc_id, b.item_id, d.text, substr(b.text, 5, 10 + CAST(b.item_id % 40 AS INTEGER)) AS quote FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)), n AS (SELECT *, lower(trim(regexp_replace(replace(replace(replace(text, '**', ''), '__', ''), '`', ''), '\\s+', ' ', 'g'))) AS t, lower(trim(regexp_replace(quote, '\\s+', ' ', 'g'))) AS q FROM p) SELECT doc_id, item_id, CASE WHEN len(quote) < 15 THEN 'short quote' WHEN NOT contains(t, q) THEN 'not verbatim' ELSE 'kept' END AS verdict FROM n")
 def quote_check(s, d):
     """A quote of 15 characters or more that its own side contains."""

@@ -172,7 +172,7 @@ def links(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query("dead_links", f"WITH {LINKS_SQL} SELECT target, count(DISTINCT src) AS referrers, min(src) AS first_referrer FROM lk WHERE target NOT IN (SELECT target FROM tg) GROUP BY 1")
 def dead_links(s, d):
-    """J07 P25 A25."""
+    """Links are the pages' href values."""
     return L.dead_links(*links(s, d))
 
 
@@ -323,15 +323,51 @@ def catalog(s, d):
     return live.select("section", X.slug(F.col("page_path")).alias("page"), X.field(block, "title").alias("title")).join(counts, "section").orderBy("section", "page")
 
 
-@query("tiling_scan_reasons", f"WITH {S.PAGES_SQL} SELECT CASE WHEN doc_id % 37 = 0 THEN 'symlink' WHEN doc_id % 41 = 0 THEN 'read error' WHEN strlen(raw) > 16384 THEN 'too large' WHEN doc_id % 43 = 0 THEN 'excluded filename' WHEN section IN ('src1', 'src2') THEN 'under prefix' WHEN ptype = 'meta' THEN 'type=meta' ELSE 'included' END AS reason, count(*) AS pages FROM pages1 GROUP BY 1")
+TILING_SQL = f"""{S.PAGES_SQL},
+files AS (SELECT CASE doc_id % 43 WHEN 0 THEN 'wiki/overview.md' WHEN 1 THEN 'wiki/folds/f' || CAST(doc_id AS VARCHAR) || '.md' WHEN 2 THEN 'wiki/meta/m' || CAST(doc_id AS VARCHAR) || '.md' ELSE page_path END AS page_path, doc_id % 37 = 0 AS is_link, doc_id % 53 <> 0 AS inside, doc_id % 41 <> 0 AS readable, strlen(raw) * 8 AS n_bytes, ptype AS type FROM pages1)"""
+
+
+def tiling_files(s: SparkSession, d: str) -> DataFrame:
+    """Pages as a scan's files. What plain tables lack follows the id; sizes are eight times the pages', which are small."""
+    k = F.col("doc_id")
+    path = F.when(k % 43 == 0, "wiki/overview.md").when(k % 43 == 1, F.format_string("wiki/folds/f%d.md", k)).when(k % 43 == 2, F.format_string("wiki/meta/m%d.md", k)).otherwise(F.col("page_path"))
+    return S.pages(s, d).select(path.alias("page_path"), (k % 37 == 0).alias("is_link"), (k % 53 != 0).alias("inside"), (k % 41 != 0).alias("readable"), (F.octet_length("raw") * 8).alias("n_bytes"), F.col("ptype").alias("type"))
+
+
+@query("tiling_scan_reasons", f"WITH {TILING_SQL} SELECT CASE WHEN is_link THEN 'symlink' WHEN NOT inside THEN 'escapes vault' WHEN NOT readable THEN 'read_error' WHEN n_bytes > 131072 THEN 'too_large' WHEN page_path = 'wiki/overview.md' THEN 'excluded filename' WHEN page_path LIKE 'wiki/folds/%' THEN 'under wiki/folds/' WHEN page_path LIKE 'wiki/meta/%' THEN 'under wiki/meta/' WHEN type IN ('meta', 'fold') THEN 'type=' || type ELSE 'included' END AS reason, count(*) AS pages FROM files GROUP BY 1")
 def tiling_scan_reasons(s, d):
-    """Guards in order, each page with its first reason. The size limit is lower, as these pages are small."""
+    """Each file with its first reason, counted."""
+    return tiling_files(s, d).groupBy(L.tiling_reason().alias("reason")).agg(F.count("*").alias("pages"))
+
+
+@query("consolidation_pages", f"WITH {S.PAGES_SQL}, m AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'wiki/entities/' WHEN 1 THEN 'wiki/sources/x/' WHEN 2 THEN 'wiki/runbooks/' ELSE 'wiki/entities-old/' END || CAST(doc_id AS VARCHAR) || '.md' AS moved FROM pages1) SELECT moved AS page_path FROM m WHERE doc_id % 4 <> 3 AND doc_id % 17 <> 0 AND status NOT IN {STALE}")
+def consolidation_pages(s, d):
+    """Pages moved to folders by id."""
     k = F.col("doc_id")
-    reason = (
-        F.when(k % 37 == 0, "symlink").when(k % 41 == 0, "read error").when(F.octet_length("raw") > 16384, "too large").when(k % 43 == 0, "excluded filename")
-        .when(F.col("section").isin("src1", "src2"), "under prefix").when(F.col("ptype").isin(*C.TILING_SKIP_TYPES), F.concat(F.lit("type="), "ptype")).otherwise("included")
-    )
-    return S.pages(s, d).groupBy(reason.alias("reason")).agg(F.count("*").alias("pages"))
+    top = F.when(k % 4 == 0, "wiki/entities/").when(k % 4 == 1, "wiki/sources/x/").when(k % 4 == 2, "wiki/runbooks/").otherwise("wiki/entities-old/")
+    return L.consolidation_scope(S.pages(s, d).withColumn("page_path", F.concat(top, k.cast("string"), F.lit(".md")))).select("page_path")
+
+
+@query("tiling_scale", "SELECT count(*) AS files, CASE WHEN count(*) > 5000 THEN 'fail' WHEN count(*) > 500 THEN 'warn' ELSE 'ok' END AS status FROM documents")
+def tiling_scale(s, d):
+    """The limits of a scan."""
+    return L.scan_scale(tiling_files(s, d))
+
+
+@query(
+    "page_text_packing",
+    f"""WITH RECURSIVE {S.PAGES_SQL}, para AS (SELECT page_path, unnest(string_split(body, chr(10))) AS x, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM pages1 WHERE len({LINES_SQL}) > 5500),
+held AS (SELECT page_path, list(x ORDER BY i) AS ps, list(e ORDER BY i) AS es FROM (SELECT *, sum(len(x) + 2) OVER (PARTITION BY page_path ORDER BY i) AS e FROM para) GROUP BY 1),
+bins(page_path, spot, txt) AS (SELECT page_path, 0, '' FROM held
+  UNION ALL SELECT page_path, CASE WHEN ps[spot + 1] = '' THEN spot + 1 ELSE nx END, CASE WHEN ps[spot + 1] = '' THEN '' ELSE array_to_string(ps[spot + 1 : nx], chr(10) || chr(10)) END
+  FROM (SELECT *, greatest(len(list_filter(es, lambda e: e <= coalesce(es[spot], 0) + 5502)), spot + 1) AS nx FROM bins JOIN held USING (page_path) WHERE spot < len(es))),
+parts AS (SELECT page_path, row_number() OVER (PARTITION BY page_path ORDER BY spot) - 1 AS part, txt FROM bins WHERE txt <> '')
+SELECT page_path, CAST(part AS INTEGER) AS part, sha256(txt) AS text_sha FROM parts UNION ALL SELECT page_path, 0, sha256({LINES_SQL}) FROM pages1 WHERE len({LINES_SQL}) <= 5500""",
+)
+def page_text_packing(s, d):
+    """Bodies, each line a paragraph, as texts for embedding."""
+    body = F.regexp_replace("body", "\n", "\n\n")
+    return K.pack_pages(S.pages(s, d).withColumn("body", body)).select("page_path", "part", F.sha2("text", 256).alias("text_sha"))
 
 
 @query("ingest_scan", f"WITH {S.PAGES_SQL} SELECT page_path FROM pages1 WHERE doc_id % 17 <> 0 AND page_path NOT IN ('wiki/log.md', 'wiki/hot.md')")
@@ -383,7 +419,7 @@ def due(pages: DataFrame, then: DataFrame, c: C.Settings = C.DEFAULTS) -> DataFr
 
 @query("consolidation_due", f"WITH {GROWTH_SQL}, r AS (SELECT pg.user_id AS page, kb, dated, CASE WHEN consolidated IS NULL THEN CASE WHEN kb >= 15 AND dated >= 5 THEN 'journal' END WHEN kb_then > 0 AND kb >= 1.5 * kb_then AND kb - kb_then >= 5 THEN 'grew' WHEN newer >= 3 THEN 'dated' END AS reason FROM pg LEFT JOIN th USING (user_id)) SELECT page, round(kb, 4) AS kb, dated, reason, round(kb + 3 * dated, 4) AS score FROM r WHERE reason IS NOT NULL")
 def consolidation_due(s, d):
-    """S07 A21 F09 F10 L06 K13."""
+    """A21 F10 L06 K13; without struck spans, of which the events have none."""
     j = journal(s, d).withColumn("struck", F.lit(0))
     out = due(j, size_then(j, history(s, d))).filter("reason is not null")
     return out.select("page", F.round("kb", 4).alias("kb"), "dated", "reason", F.round("score", 4).alias("score")).orderBy(F.col("score").desc(), "page")

@@ -351,59 +351,112 @@ def ledger_antijoin(s, d):
     return unlinked(pairs(s, d), *links_and_ledger(s, d)).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-def percentile_cut(values: DataFrame, column: str, p: int) -> float | None:
-    """The element at ``int(p / 100 * (n - 1))`` of the sorted values (lower nearest rank), by an exact distributed rank: no row holds all values."""
-    n = values.count()
-    if not n:
-        return None
-    place = int(p / 100 * (n - 1))
-    parts = values.select(column).repartitionByRange(column).sortWithinPartitions(column).withColumn("_part", F.spark_partition_id())
-    sizes = sorted((r["_part"], r["count"]) for r in parts.groupBy("_part").count().collect())
-    for part, size in sizes:
-        if place < size:
-            return parts.filter(F.col("_part") == part).withColumn("_turn", F.row_number().over(W.partitionBy("_part").orderBy(column))).filter(F.col("_turn") == place + 1).first()[column]
-        place -= size
-    return None
-
-
-BAND_SQL = f"""{PAIR_SQL}, {LINK_SQL}, pool AS (SELECT a, b, round(c, 9) AS c FROM near WHERE NOT EXISTS (SELECT 1 FROM links WHERE (src = a AND dst = b) OR (src = b AND dst = a)) AND NOT EXISTS (SELECT 1 FROM ledger l WHERE l.a = near.a AND l.b = near.b)),
-s AS (SELECT list(c ORDER BY c) AS cs FROM pool), cut AS (SELECT cs[CAST(floor(0.5 * (len(cs) - 1)) AS BIGINT) + 1] AS lo, cs[CAST(floor(0.9 * (len(cs) - 1)) AS BIGINT) + 1] AS hi FROM s)"""
-
-
-def seed_pool(s: SparkSession, d: str, lo: int = 50, hi: int = 90) -> DataFrame:
-    pool = unlinked(pairs(s, d), *links_and_ledger(s, d)).withColumn("cosine", F.round("cosine", 9))
-    low, high = percentile_cut(pool, "cosine", lo), percentile_cut(pool, "cosine", hi)
+def percentile_cuts(values: DataFrame, column: str, percents: list[int]) -> list[float | None]:
+    """For each percentage the element at ``int(p / 100 * (n - 1))`` of the sorted values (lower nearest rank), exact.
+
+    The values are ranged once and saved with their partition, so counting and picking see the same ranges; no row holds all values.
+    """
+    ranged = save(values.select(column).repartitionByRange(column).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
+    n = sum(size for _, size in sizes)
+    out: list[float | None] = []
+    for p in percents:
+        place = int(p / 100 * (n - 1))
+        for part, size in sizes:
+            if place < size:
+                turn = F.row_number().over(W.partitionBy("_part").orderBy(column))
+                out.append(ranged.filter(F.col("_part") == part).withColumn("_turn", turn).filter(F.col("_turn") == place + 1).first()[column])
+                break
+            place -= size
+        else:
+            out.append(None)
+    return out
+
+
+#: Vectors as pages: classes of them are profiles, folds and archived pages.
+SEED_SQL = f"""pages2 AS (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN 'wiki/meta/profile/p' WHEN vec_id % 13 = 0 THEN 'wiki/folds/f' ELSE 'wiki/p' END || CAST(vec_id AS VARCHAR) || '.md' AS page_path, CASE WHEN vec_id % 7 = 0 THEN 'archived' ELSE 'active' END AS status FROM embeddings),
+seeds AS (SELECT vec_id, page_path FROM pages2 WHERE NOT regexp_matches(page_path, '{C.SCAN_SKIP}') AND NOT regexp_matches(page_path, '{C.SEED_SKIP}') AND status NOT IN ({", ".join(f"'{x}'" for x in C.STALE_STATUSES)}))"""
+
+
+def allowed_seeds(pages: DataFrame) -> DataFrame:
+    """pages that may seed ideas: no archive-like ones, no profiles or overviews, none that is stale."""
+    path = F.col("page_path")
+    return pages.filter(~path.rlike(C.SCAN_SKIP) & ~path.rlike(C.SEED_SKIP) & ~X.stale(F.col("status")))
+
+
+@query("seed_pages", f"WITH {SEED_SQL} SELECT * FROM seeds")
+def seed_pages(s, d):
+    """F03 F04 F01."""
+    k = F.col("vec_id")
+    top = F.when(k % 11 == 0, "wiki/meta/profile/p").when(k % 13 == 0, "wiki/folds/f").otherwise("wiki/p")
+    p = S.table(s, d, "embeddings").select("vec_id", F.concat(top, k.cast("string"), F.lit(".md")).alias("page_path"), F.when(k % 7 == 0, "archived").otherwise("active").alias("status"))
+    return allowed_seeds(p).select("vec_id", "page_path")
+
+
+BAND_SQL = f"""{VEC_SQL}, {SEED_SQL}, {LINK_SQL}, se AS (SELECT e.* FROM e JOIN seeds USING (vec_id)), al AS (SELECT x.vec_id AS a, y.vec_id AS b, {_cos('x.v', 'y.v')} AS c FROM se x JOIN se y ON x.vec_id < y.vec_id),
+un AS (SELECT a, b, round(c, 9) AS c FROM al WHERE NOT EXISTS (SELECT 1 FROM links WHERE (src = a AND dst = b) OR (src = b AND dst = a)) AND NOT EXISTS (SELECT 1 FROM ledger l WHERE l.a = al.a AND l.b = al.b)),
+s AS (SELECT list(c ORDER BY c) AS cs FROM un), cut AS (SELECT cs[CAST(floor(0.5 * (len(cs) - 1)) AS BIGINT) + 1] AS lo, cs[CAST(floor(0.9 * (len(cs) - 1)) AS BIGINT) + 1] AS hi FROM s)"""
+
+
+def seed_pool(s: SparkSession, d: str, lo: int = 50, hi: int = 90, focus: int | None = None) -> DataFrame:
+    """of all unlinked pairs of seed pages (with the ``focus`` page, if given), those whose cosine lies between two percentiles of them.
+
+    The percentiles are of all these pairs, so they are all made, once, and saved: seeds are pages, which a scan bounds (S08).
+    """
+    v = vectors(s, d).join(B.small(seed_pages(s, d).select(F.col("vec_id").alias("item_id"))), "item_id", "left_semi")
+    pairs = unlinked(V.similar_pairs(v, -1.1), *links_and_ledger(s, d)).withColumn("cosine", F.round("cosine", 9))
+    if focus is not None:
+        pairs = pairs.filter((F.col("a") == focus) | (F.col("b") == focus))
+    pool = save(pairs, "seed-pairs")
+    low, high = percentile_cuts(pool, "cosine", [lo, hi])
     return pool.filter(F.col("cosine").between(low, high)) if low is not None else pool
 
 
-@query("seed_pair_band", f"WITH {BAND_SQL} SELECT a, b, round(c, 6) AS cosine FROM pool, cut WHERE c >= lo AND c <= hi")
+@query("seed_pair_band", f"WITH {BAND_SQL} SELECT a, b FROM un, cut WHERE c >= lo AND c <= hi")
 def seed_pair_band(s, d):
-    """A20 F08 J12."""
-    return seed_pool(s, d).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    """A20 F03 F04 F08 J12."""
+    return seed_pool(s, d).select("a", "b")
 
 
-def disjoint_pairs(pool: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """Greedy matching in hash order: each item once, ``n`` pairs at most.
+@query("seed_pair_focus", f"WITH {BAND_SQL.replace('WHERE NOT EXISTS (SELECT 1 FROM links', 'WHERE (a = 1 OR b = 1) AND NOT EXISTS (SELECT 1 FROM links')} SELECT a, b FROM un, cut WHERE c >= lo AND c <= hi")
+def seed_pair_focus(s, d):
+    """Pairs with a focus page, and the percentiles of these."""
+    return seed_pool(s, d, focus=1).select("a", "b")
 
-    The order is sorted by Spark and read a partition at a time; reading ends with the ``n``-th pair, so the driver
-    holds ``n`` pairs and the items in them.
+
+def disjoint_pairs(pool: DataFrame, n: int, seed: int = 0, focus: int | None = None) -> DataFrame:
+    """Greedy matching in a drawn order: each item once but for ``focus``, the first ``n`` pairs.
+
+    A pair that comes first among all pairs of both its items is in the matching; with these and their items gone, the
+    same holds of what is left. So rounds of joins give the very matching of one greedy walk.
     """
-    rows = pool.orderBy(F.xxhash64(F.lit(seed), "a", "b"), "a", "b").select("a", "b", "cosine").toLocalIterator()
-    used: set = set()
-    out = []
-    for r in rows:
-        if r.a not in used and r.b not in used:
-            out.append((r.a, r.b, r.cosine))
-            used |= {r.a, r.b}
-            if len(out) == n:
-                break
-    return pool.sparkSession.createDataFrame(out, "a long, b long, cosine double")
+    draw = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("a").cast("string"), F.col("b").cast("string")))
+    left = pool.select("a", "b", "cosine", F.struct(draw.alias("draw"), "a", "b").alias("turn"))
+    ends = lambda rows: rows.select(F.explode(F.array("a", "b")).alias("item"), "turn").filter(F.lit(focus is None) | (F.col("item") != F.lit(focus)))
+    found = None
+    left = save(left, "left-pairs")
+    while left.take(1):
+        first = ends(left).groupBy("item").agg(F.min("turn").alias("first"))
+        wins = first.groupBy(F.col("first").alias("turn")).agg(F.count("*").alias("ends"))
+        need = 2 - (F.lit(0) if focus is None else ((F.col("turn.a") == focus) | (F.col("turn.b") == focus)).cast("int"))
+        won = save(left.join(wins.filter(F.col("ends") == need).select("turn"), "turn", "left_semi"), "won-pairs")
+        found = won if found is None else found.unionByName(won)
+        gone = ends(won).select("item").distinct()
+        left = save(left.join(gone, left["a"] == gone["item"], "left_anti").join(gone, left["b"] == gone["item"], "left_anti"), "left-pairs")
+    found = left if found is None else found
+    return found.orderBy("turn").limit(n).select("a", "b", "cosine")
 
 
-@query("seed_pair_matching")
+@query(
+    "seed_pair_matching",
+    f"""WITH RECURSIVE {BAND_SQL}, pl AS (SELECT a, b, c, md5('0-' || CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR)) AS k FROM un, cut WHERE c >= lo AND c <= hi),
+w(n, k, a, b, c, used) AS (SELECT 0, '', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST([] AS BIGINT[])
+  UNION ALL SELECT n + 1, x.k, x.a, x.b, x.c, list_concat(used, [x.a, x.b]) FROM (SELECT w.n, w.used, arg_min(pl, pl.k) AS x FROM w JOIN pl ON pl.k > w.k AND NOT list_contains(w.used, pl.a) AND NOT list_contains(w.used, pl.b) WHERE w.n < 12 GROUP BY w.n, w.used))
+SELECT a, b FROM w WHERE n > 0""",
+)
 def seed_pair_matching(s, d):
     """The report's 12 pairs."""
-    return disjoint_pairs(seed_pool(s, d), C.DEFAULTS.seed_pairs)
+    return disjoint_pairs(seed_pool(s, d), C.DEFAULTS.seed_pairs).select("a", "b")
 
 
 @query("nearest_chunk", f"WITH {POOL_SQL}, c AS (SELECT label AS query_id, vec_id AS item_id, {_cos('m', 'v')} AS c FROM means CROSS JOIN (SELECT vec_id, v FROM e)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, item_id) AS t FROM c) SELECT query_id, item_id, round(c, 6) AS cosine FROM r WHERE t = 1")

@@ -27,7 +27,7 @@ def write_tsv(df: DataFrame, path: str) -> None:
 
 def append_log(df: DataFrame, path: str) -> None:
     """Append; texts are stored as their hash and length."""
-    kept = df.withColumns({"prompt_sha": F.substring(F.sha2("prompt", 256), 1, 16), "chars": F.length("prompt")}).drop("prompt")
+    kept = df.withColumns({"prompt_sha": F.substring(F.sha2("prompt", 256), 1, 12), "chars": F.length("prompt")}).drop("prompt")
     kept.write.mode("append").json(path)
 
 

@@ -227,3 +227,73 @@ def test_dense_fill(spark):
     assert got == {0: [(1, 0), (2, 2)], 1: [], 2: [], 3: [], 4: [(1, 7)]}
     two = R.dense_fill(pool.filter("chunk_id = 8"), [(queries, i) for i in items], live, 4)
     assert [r.chunk_id for r in two.orderBy("rank").collect()] == [7, 0, 6]
+
+
+def test_percentiles_over_many_partitions(spark):
+    """Exact elements, whatever the ranges: counting and picking read the same saved rows."""
+    from pagewright.plans.search import percentile_cuts
+
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        values = spark.range(0, 50_000, 1, 16).select(F.pmod(F.xxhash64("id"), F.lit(9973)).cast("double").alias("v"))
+        want = sorted(r.v for r in values.collect())
+        assert percentile_cuts(values, "v", [0, 10, 50, 90, 100]) == [want[int(p / 100 * (len(want) - 1))] for p in (0, 10, 50, 90, 100)]
+        assert percentile_cuts(values.limit(0), "v", [50]) == [None]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[0])
+        spark.conf.set("spark.sql.shuffle.partitions", old[1])
+
+
+@pytest.mark.parametrize("focus", [None, 3])
+def test_matching_is_the_greedy_walk(spark, focus):
+    import hashlib
+
+    from pagewright.plans.search import disjoint_pairs
+
+    r = random.Random(8)
+    pairs = sorted({tuple(sorted(r.sample(range(40), 2))) for _ in range(200)})
+    pairs = [p for p in pairs if focus is None or focus in p]
+    used, want = set(), []
+    for a, b in sorted(pairs, key=lambda p: hashlib.md5(f"0-{p[0]}-{p[1]}".encode()).hexdigest()):
+        if (a in used and a != focus) or (b in used and b != focus):
+            continue
+        used |= {a, b}
+        want.append((a, b))
+    got = disjoint_pairs(spark.createDataFrame([(a, b, 0.5) for a, b in pairs], "a long, b long, cosine double"), 9, focus=focus).collect()
+    assert sorted((x.a, x.b) for x in got) == sorted(want[:9])
+
+
+def test_index_is_stored_or_missing(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "apple pear"), (2, "apple apple plum"), (3, None)], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "plum apple"), (2, "nothing")], "query_id long, q string")
+    with pytest.raises(B.IndexMissing):
+        B.read_index(spark, str(tmp_path / "none"))
+    index = B.read_index(spark, B.write_index(chunks, str(tmp_path / "index")))
+    rows = lambda df: sorted((x.query_id, x.chunk_id, round(x.score, 9), x.rank) for x in df.collect())
+    assert rows(B.search_index(asked, index, 5)) == rows(B.search(asked, chunks, 5)) and len(rows(B.search(asked, chunks, 5))) == 2
+
+
+def test_matches_by_join_equal_literals(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(9))) for i in range(30)], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "w3 w4 w4 w16"), (2, "w0 w9")], "query_id long, q string")
+    rows = lambda: sorted((x.query_id, x.chunk_id, round(x.score, 9), x.rank) for x in B.search(asked, chunks, 7).collect())
+    want = rows()
+    monkeypatch.setattr(B, "LITERAL_TERMS", 2)
+    assert rows() == want and want
+
+
+def test_index_flag_counts_in_the_frontmatter_only(spark):
+    assert values(spark, ["---\nindex: off\n---\nx", "---\na: 1\n---\nindex: off\n", "index: off", None], X.indexed) == [False, True, True, True]
+
+
+def test_prefix_of_struck_and_untitled_pages(spark):
+    df = spark.createDataFrame([("", "Opens: Old ~~struck~~ text  line. Two.", " Archived ", None)], "t string, b string, s string, r string")
+    assert [r.p for r in df.select(K.context_prefix(F.col("t"), F.col("b"), F.col("s"), F.col("r")).alias("p")).collect()] == ['This passage is from the wiki page "(untitled)". The page opens: Opens: Old   text  line. Page status: archived.']
+
+
+def test_packed_paragraphs():
+    text = "\n\n".join(["a" * 30, "b" * 30, "c" * 80, "", "d" * 10])
+    assert K.packed_paragraphs(text, 62) == ["a" * 30 + "\n\n" + "b" * 30, "c" * 80, "d" * 10]
+    assert K.packed_paragraphs("short", 62) == ["short"] and K.packed_paragraphs("\n" * 98, 62) == ["\n" * 62] and K.packed_paragraphs("\n" * 99, 62) == ["\n"]
