@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+from array import array
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
 from itertools import filterfalse
@@ -32,7 +33,7 @@ _ANY_SPACE = re.compile(f"[{_SPACE}]")
 _STEM = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
 _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: What a worker keeps: so many units and so many bytes of them, none longer than so many characters. Others are encoded again for each batch.
-MEMO_UNITS, MEMO_BYTES, MEMO_CHARS = 500_000, 64 << 20, 64
+MEMO_UNITS, MEMO_BYTES, MEMO_CHARS = 500_000, 128 << 20, 64
 #: A longer unit is cut where the pattern always parts its neighbours, so that the library gets strings of about so many characters.
 CUT_CHARS = 1 << 14
 #: Fixed ranges: letters (ASCII, Chinese, kana), digits and signs whose class no Unicode version changes; the apostrophe is left out, as it may belong to what follows.
@@ -71,6 +72,7 @@ class UnitEncoder:
         self.memo: dict[str, bytes | None] = {}
         self.odd: dict[str, bytes] = {}
         self.held = 0
+        self.code = "H" if self.width == 2 else "I"
 
     def _plain(self, strings: Sequence[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -128,10 +130,11 @@ class UnitEncoder:
         if got is None:
             if len(part) > MEMO_CHARS:
                 return self._plain([part])[0]
-            if len(self.parts) >= self.memo_units // 4:
-                self.parts.clear()
-            word = part.encode().decode("latin-1").translate(self.shown)
-            got = self.parts[part] = np.array([t.id for t in self.model.tokenize(word)], self.dtype).tobytes()
+            # letters and ASCII signs show as themselves, the blank as its own sign
+            word = part.replace(" ", self.shown[32]) if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
+            got = array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+            if len(self.parts) < self.memo_units:
+                self.parts[part] = got
         return got
 
     def _learn(self, units: set[str]) -> None:
