@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import map_arrow, save, steps
+from pagewright.llm.common import map_arrow, save, spread, steps
 from pagewright.llm.encoding import encoder, tokenizer_path
 
 #: Pieces that one partition packs at most (in the mean): bounds a task's memory and time.
@@ -41,7 +41,7 @@ def pieces_of(docs: DataFrame, size: int = 2048, tokenizer: str = "byte_bpe_50k.
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     narrow = docs.select("doc_id", "text")
-    return map_arrow(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(spread(narrow), run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +95,9 @@ def lower_bound(lengths: np.ndarray, size: int) -> int:
 
 
 def pack(pieces: DataFrame, size: int = 2048, part_pieces: int = PART_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """Give each piece (any columns with ``length``, 1 to ``size``) a ``sequence_id`` and an ``offset`` in it.
+    """Give each piece (any columns with ``length``, 1 to ``size``) a ``sequence_id``, an ``offset`` in it, and the ``gap`` of its partition.
+
+    The gap is how many bins the partition's pieces that stay there take beyond their lower bound; 0 certifies that they cannot be fewer.
 
     Pieces are dealt to partitions of bounded size by a hash, and best-fit decreasing packs each. A
     dual-feasible lower bound certifies a partition whose bins it equals. Others release their
@@ -106,11 +108,12 @@ def pack(pieces: DataFrame, size: int = 2048, part_pieces: int = PART_PIECES, ro
     """
     state = save(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     columns = pieces.columns
-    full = state.filter(F.col("length") == size).withColumns({"sequence_id": F.col("uid"), "offset": F.lit(0).cast("long")})
+    full = state.filter(F.col("length") == size).withColumns({"sequence_id": F.col("uid"), "offset": F.lit(0).cast("long"), "gap": F.lit(0).cast("long")})
     moving = state.filter(F.col("length") < size).withColumns({"old": F.lit(None).cast("long"), "at": F.lit(None).cast("long")})
-    done = [full.select(*columns, "sequence_id", "offset")]
+    out_columns = [*columns, "sequence_id", "offset", "gap"]
+    done = [full.select(*out_columns)]
     waiting = moving.count()
-    schema = moving.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "release": F.lit(False)}).schema
+    schema = moving.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "gap": F.lit(0).cast("long"), "release": F.lit(False)}).schema
 
     def run(key: tuple, pdf: pd.DataFrame, turn: int) -> pd.DataFrame:
         pdf = pdf.drop(columns="part").sort_values(["length", "uid"], ascending=[False, True], kind="stable").reset_index(drop=True)
@@ -125,6 +128,10 @@ def pack(pieces: DataFrame, size: int = 2048, part_pieces: int = PART_PIECES, ro
             room = (size - pdf.groupby("sequence_id")["length"].sum()).sort_values(ascending=False, kind="stable")
             enough = int(np.searchsorted(np.cumsum(room.to_numpy()), 2 * size * (made - bound))) + 1
             pdf["release"] = pdf["sequence_id"].isin(room.index[: max(2, min(enough, int((room > 0).sum())))])
+        kept = ~pdf["release"].to_numpy()
+        pdf["gap"] = max(0, pdf["sequence_id"].nunique() - bound)
+        if pdf["release"].any() and kept.any():  # what stays is judged on its own
+            pdf.loc[kept, "gap"] = max(0, pdf.loc[kept, "sequence_id"].nunique() - lower_bound(lengths[kept], size))
         return pdf[[f.name for f in schema]]
 
     def packer(turn: int):
@@ -137,7 +144,7 @@ def pack(pieces: DataFrame, size: int = 2048, part_pieces: int = PART_PIECES, ro
         dealt = moving.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(parts)))
         packed = save(dealt.groupBy("part").applyInPandas(packer(turn), schema), "packed")
         last = turn == rounds or parts == 1
-        done.append((packed if last else packed.filter("not release")).select(*columns, "sequence_id", "offset"))
+        done.append((packed if last else packed.filter("not release")).select(*out_columns))
         if last:
             break
         moving = packed.filter("release").select(*columns, "uid", F.col("sequence_id").alias("old"), F.col("offset").alias("at"))
@@ -151,6 +158,8 @@ def pack(pieces: DataFrame, size: int = 2048, part_pieces: int = PART_PIECES, ro
 def pack_documents(docs: DataFrame, size: int = 2048, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     """Pack whole documents (null text: empty, one end id) into sequences of ``size`` tokens; one row a piece.
 
-    Null doc_ids stay null and repeated rows are packed once for each row; other columns are not read.
+    Null doc_ids stay null and repeated rows are packed once for each row; other columns are not read. ``certified``: the
+    sequence stands in a partition whose packing is proven to be the best (:func:`pack`).
     """
-    return pack(pieces_of(docs, size, tokenizer), size).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    packed = pack(pieces_of(docs, size, tokenizer), size).withColumn("certified", F.col("gap") == 0)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap", "certified")

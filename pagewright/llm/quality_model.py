@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import hash_sample, map_arrow, split_words, steps, word_hashes
+from pagewright.llm.common import hash_sample, map_arrow, split_words, spread, steps, word_hashes
 from pagewright.llm.text_stats import text_counts
 
 #: Trusted positives and unlabelled texts that the model is fitted on in the mean (chosen by a hash of doc_id). The unlabelled sample is as much part of
@@ -152,5 +152,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_positive: int = SAM
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["doc_id", "score"])
 
     narrow = docs.select("doc_id", "text")
-    out = map_arrow(narrow, score, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, score double")
+    out = map_arrow(spread(narrow), score, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.lit(prior).alias("class_prior"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import compact, gram_hashes, map_arrow, mix, split_words, steps, word_hashes
+from pagewright.llm.common import compact, gram_hashes, map_arrow, mix, split_words, spread, steps, word_hashes
 
 #: Counted characters. Fixed values.
 SYMBOLS = b"#*$%&|<>"
@@ -92,4 +92,4 @@ def with_text_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *(pa.array(found[c], pa.int64()) for c in NAMES)], ["doc_id", "text_key", *NAMES])
 
     narrow = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return map_arrow(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, text_key long, " + ", ".join(f"{c} long" for c in NAMES))
+    return map_arrow(spread(narrow), run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, text_key long, " + ", ".join(f"{c} long" for c in NAMES))
