@@ -45,7 +45,10 @@ def clear(spark: SparkSession) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out anew where a table comes in fewer partitions than there are cores, as one small file does; larger tables stay as they are.
 
-    For work that costs far more than moving its rows once.
+    For work that costs far more than moving its rows once. Only plain scans are looked at: to count the partitions of
+    a plan with exchanges would run it.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
