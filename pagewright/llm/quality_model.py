@@ -123,7 +123,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_positive: int = SAM
     The class prior is estimated from the trusted positives and the unlabelled texts (:func:`estimate_prior`); labels of class 0 are
     never used. ``class_prior`` says what it came to. The two samples are bounded, chosen by a hash over all ids, one row an id (that with the least hash of its text), and the only data that reach the driver;
     scoring is one pass without a shuffle. Without positives every score is 0.5. Null texts count as
-    empty and are scored; labels without a class are left out; of repeated labels the lowest counts.
+    empty and are scored; labels without a class are left out; of repeated labels the lowest counts. Other columns are not read; an empty
+    table gives no rows; repeated rows get one score each; texts of any length are scored whole.
     """
     taught = labels.filter("quality is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen_p = hash_sample(taught.filter("quality >= 1"), sample_positive, salt=6).select("doc_id", F.lit(True).alias("trusted"))

@@ -125,7 +125,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     One pass over the whole texts gives narrow counts, which are saved; the labels join these, never the
     texts. The list is learned on the driver from about ``sample_rows`` labelled rows, one an id, and applied as an
     expression. Null or empty texts have no words, so the base rule fails them. Null ids and labels
-    without a class teach nothing; without labels only the base rule counts. Other columns are not read.
+    without a class teach nothing; without labels only the base rule counts. Other columns are not read. Repeated rows get one
+    result each, an empty table none; texts of any length are counted whole.
     """
     counts = ratios(save(with_text_counts(docs), "text-counts"))
     taught = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))

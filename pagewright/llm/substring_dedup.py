@@ -251,7 +251,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False,
     A word goes if a window of ``window`` words covers it whose words also start earlier: in a smaller doc_id, or
     earlier in the same document. ``with_text`` adds ``kept_text`` (null where nothing goes) and ``text_key``. Null texts have no
     words. Null ids come before all others; different texts with one id are ordered by a hash of the text; rows
-    that repeat id and text are one document, whose result each row gets. Other columns are not read.
+    that repeat id and text are one document, whose result each row gets. Other columns are not read. An empty table gives no rows;
+    texts of any length are read whole. An anchor with over ``most_segments`` different segments is dealt by single windows, with the same results.
     """
     rows = _rows(docs.select("doc_id", "text"))
     classes = _classes(_occurrences(rows, window))

@@ -123,7 +123,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
     """Write the ids of all whole texts (null: empty), each document closed by ``end_id``, in ascending doc_id order below ``path``.
 
     Returns the manifest ``(shard, part, n_ids, n_docs)``, saved. Null doc_ids come first; rows with one doc_id are
-    ordered by a hash of their text; repeated rows are written once for each row. One range shuffle by
+    ordered by a hash of their text; repeated rows are written once for each row. Ids are integers or text of integers; other
+    text is an error (the files hold 64-bit ids). Other columns are not read; texts of any length are one document. One range shuffle by
     doc_id; each task streams its sorted rows into files of a bounded number of ids, under a temporary
     name that is then renamed, so a task may run again. ``path`` is a folder that all machines share.
     """

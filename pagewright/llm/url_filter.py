@@ -124,7 +124,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, label
 
     The verdict is the rule's where one fits, else block where the model's probability is above 0.5.
     No shuffle. A null url, or one without ``://``, has an empty host and path and gets the model's verdict on these.
-    Null page_ids and repeated rows stay as they are; other columns are not read.
+    Null page_ids and repeated rows stay as they are; other columns are not read. An empty table gives no rows; urls of any length are read whole.
     """
     weights, bias = train(labelled_table() if labelled is None else labelled)
     host, path = host_and_path(F.col("url"))

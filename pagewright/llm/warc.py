@@ -92,7 +92,8 @@ def archive_digest(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write the archive to the shared folder, read it back and return what each page's record says.
 
     Of a response, length and digest are those of the body in its rebuilt record. A revisit's record has no body; its header
-    gives them, and what it refers to. Empty tables give no rows; null ids stay null; other columns are not read.
+    gives them, and what it refers to. Empty tables give no rows; null ids stay null; other columns are not read. Payloads of any length are
+    kept whole; of rows that repeat id and payload, that with the least url is the response (any one of those with one url).
     """
     spark, path = pages.sparkSession, shared_dir(pages.sparkSession, "archive")
     write_archive(pages, path, least_bytes)

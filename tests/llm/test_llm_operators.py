@@ -442,3 +442,22 @@ def test_samples_have_one_row_an_id(spark, monkeypatch):
     assert judge_quality(docs, labels).count() == 149
     assert sizes[0] == (sum(i % 2 == 0 for i in free), len(free))
     assert sorted(sizes[1]) == list(range(30))
+
+
+def test_odd_rows_of_the_other_operators(spark):
+    """Empty tables, repeated rows, clashing names and very long values: op1, op5, op6, op8, op9."""
+    long_url = "https://A.example.org/es/" + "x" * 200_000
+    pages = [(1, long_url, "h" * 3_000_000, "own"), (1, long_url, "h" * 3_000_000, "own"), (None, "no scheme", None, "own"), (4, "http://b.org?q", "h" * 3_000_000, "own")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, sha256 string")
+    got = judge_urls(df).collect()
+    assert len(got) == 4 and sum(r.path == "/es/" + "x" * 200_000 and r.verdict == "block" and r.rule == "example.org/es/" for r in got) == 2
+    assert judge_urls(df.limit(0)).count() == 0 and archive_digest(df.limit(0)).count() == 0
+    kept = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in archive_digest(df).collect())
+    assert kept == [(0, 0, "response", None), (1, 3_000_000, "revisit", 4), (1, 3_000_000, "revisit", 4), (4, 3_000_000, "response", None)]
+    text = " ".join(f"word{i % 977} and" for i in range(60_000))
+    docs = frame(spark, [(1, text), (1, text), (2, "good words here."), (None, None), (3, "")])
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    scored = score_quality(docs, labels).collect()
+    assert len(scored) == 5 and all(0 <= r.score <= 1 for r in scored) and len({r.score for r in scored if r.doc_id == 1}) == 1
+    assert score_quality(docs.limit(0), labels).count() == 0 and judge_quality(docs, labels).filter("doc_id = 1 and n_words = 120000").count() == 2
+    assert [r.n_tokens for r in token_file_digest(docs.withColumn("doc_id", F.col("doc_id").cast("string"))).filter("doc_id = 3").collect()] == [1]

@@ -54,3 +54,19 @@ def test_near_duplicates_keeps_what_nothing_links(spark):
     assert [[r for r in group if r in got] for group in linked[1:3]] == [[linked[1][0]], [linked[2][1]]]
     assert [sum(r in got for r in group) for group in linked] == [1, 1, 1, 1]
     assert len(got) == len(alone) + len(linked)
+
+
+def test_stages_with_odd_rows(spark):
+    """Nulls, repeated rows and the stages' own names as columns: each row keeps its columns, and null and empty texts their defined fate."""
+    good = lambda a: " ".join(f"{a}{i} and" for i in range(80)) + "."
+    one = 10**6  # ids without labels: the base rule decides
+    rows = [(one, good("a"), 1), (one, good("a"), 1), (None, good("b"), 2), (None, None, 3), (one + 5, "", 4), (one + 6, good("c"), 5), (None, good("d"), 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _pipeline_key int").withColumns({"_pipeline_id": F.lit("i"), "_pipeline_of": F.lit("o"), "_pipeline_text": F.lit("t")})
+    every = lambda df: sorted(map(str, df.collect()))
+    for name, stage in P.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and set(every(out)) <= set(every(docs))
+        kept = out.select("_pipeline_key").distinct().count()
+        assert kept == (4 if name == "quality_rules" else 6)
+        assert out.filter("_pipeline_key = 1").count() == (1 if name == "near_duplicates" else 2)
+    assert P.STAGES[4][1](spark, docs, SF).count() == 7
