@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import os
+from dataclasses import asdict, dataclass, replace
 
 #: Words that the tokenizer drops.
 STOPWORDS = tuple(
@@ -51,6 +53,13 @@ DATED_HEADING = r"(?dm)^#{2,3} [^\n]*?\b(20\d\d-\d\d-\d\d)"
 TRIVIAL = r"(?i)^\s*(ok(ay)?|s[iì]|yes|no|va bene|vai|procedi|continua|retry|riprova|fai tu|concludi|perfetto|grazie|thanks|go|fatto|chiudiamo)\b[\s.!,]*$"
 HARNESS = r"<(command-name|local-command-[a-z]+|system-reminder|task-notification)>"
 ELISION = r"(?iU)\b(l|un|dell|all|nell|dall|sull|quell|quest|c|d|s|m|t|v|n|po|qual|com|dov|anch)-(?=\w)"
+LOG_ENTRY = r"^- (20\d\d-\d\d-\d\d) · (?:([^·*]+?) · )?\*\*([^*]+)\*\*(?: — (.*))?$"
+#: What stands before queries and documents of each family of embedding models.
+MODEL_PREFIXES = {
+    "nomic-embed-text": ("search_query: ", "search_document: "),
+    "qwen3-embedding": ("Instruct: Given a search query, retrieve relevant passages that answer the query\nQuery: ", ""),
+}
+#: Skip patterns of the scans.
 SCAN_SKIP = r"^wiki/(folds/|log\.md|hot\.md|index\.md|.*_index\.md|meta/(lint-report|tiling-report|20\d\d-))"
 SEED_SKIP = r"^wiki/(meta/profile/|overview\.md)"
 
@@ -98,3 +107,16 @@ class Settings:
 
 
 DEFAULTS = Settings()
+
+
+def load_settings(path: str | None, base: Settings = DEFAULTS) -> Settings:
+    """``base`` with the values of a JSON object; where there is no such file, ``base``. An unknown name is an error."""
+    if path is None or not os.path.exists(path):
+        return base
+    with open(path, encoding="utf-8") as f:
+        return replace(base, **json.load(f))
+
+
+def described(settings: Settings = DEFAULTS) -> dict[str, object]:
+    """Every setting by name."""
+    return asdict(settings)

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright import config as C
+
 
 class Embedder(Protocol):
     """X01. ``embed`` gives one vector a text, or None where it failed; the prefixes stand before queries and documents."""
@@ -94,6 +96,57 @@ def embed_missing(chunks: DataFrame, cache: DataFrame, embedder: Embedder, schem
     return todo.mapInPandas(run, "model string, scheme string, input_hash string, vector array<double>")
 
 
+def task_prefixes(model: str) -> tuple[str, str]:
+    """The query's and the document's prefix of a model, by the family that its name holds. An unknown family is an error: vectors
+    without their prefixes look right and are not."""
+    for family, prefixes in C.MODEL_PREFIXES.items():
+        if family in model:
+            return prefixes
+    raise ValueError(f"no prefixes known for the model {model!r}; known families: {', '.join(C.MODEL_PREFIXES)}")
+
+
+def separable(texts: Sequence[str], separator: str, cap: int = 8000) -> list[str]:
+    """Texts that a batch joined by ``separator`` can hold: without it, cut at ``cap``, and never empty, so that vectors keep their places."""
+    return [t.replace(separator, " ")[:cap] or " " for t in texts]
+
+
+def split_served(models: Sequence[str], served: Callable[[str], bool]) -> tuple[list[str], list[str]]:
+    """The models that a backend can serve now, and the others; a run goes on with the first."""
+    found = {m: served(m) for m in models}
+    return [m for m in models if found[m]], [m for m in models if not found[m]]
+
+
+#: The tiers that make prefixes, best first, and where each turns when it fails. No tier falls back on a dearer one.
+PREFIX_FALLBACK = {"api": ("cli", "synthetic"), "cli": ("synthetic",), "synthetic": ()}
+
+
+def prefix_tier(available: Sequence[str], egress: bool = False, synthetic: bool = False) -> str:
+    """The best available tier; without leave to send texts out it is always the synthetic one."""
+    if synthetic or not egress:
+        return "synthetic"
+    return next((t for t in PREFIX_FALLBACK if t in available), "synthetic")
+
+
+def make_prefix(tier: str, makers: dict[str, Callable[[str, str], str | None]], page: str, chunk: str) -> tuple[str, str]:
+    """A chunk's prefix and the tier that made it; a tier without a maker or whose maker gives nothing or fails passes it on."""
+    for t in (tier, *PREFIX_FALLBACK[tier]):
+        try:
+            made = makers[t](page, chunk) if t in makers else None
+        except Exception:
+            made = None
+        if made:
+            return made, t
+    return "", "synthetic"
+
+
+class OverlapScorer:
+    """Deterministic offline double of a pair scorer: the share of the query's words that the text has."""
+
+    def score(self, pairs: Sequence[tuple[str, str]]) -> list[float]:
+        words = [(set(q.lower().split()), set(t.lower().split())) for q, t in pairs]
+        return [len(q & t) / len(q) if q else 0.0 for q, t in words]
+
+
 def pick_backend(*backends: Embedder) -> Embedder | None:
     """The first that is healthy."""
     return next((b for b in backends if b.healthcheck()), None)

@@ -113,6 +113,80 @@ def fold(log: DataFrame, folded: DataFrame, k: int) -> DataFrame:
     return batch.agg(name.alias("fold_id"), F.count("*").alias("entries"), (F.count("*") < size).alias("short"))
 
 
+def log_entries(lines: DataFrame, text: str = "text") -> DataFrame:
+    """The entries among a log's lines: ``entry_date, category, title, body, links, paths`` beside the lines' columns.
+
+    An entry is one line, ``- DATE · category · **title** — body``; the category may be absent. ``links`` are the page names in double
+    brackets, ``paths`` the code spans that hold a slash.
+    """
+    part = lambda i: F.regexp_extract(text, C.LOG_ENTRY, i)
+    of = lines.filter(F.col(text).rlike(C.LOG_ENTRY)).withColumns({"entry_date": part(1), "category": F.nullif(part(2), F.lit("")), "title": part(3), "body": X.strip(part(4))})
+    code = F.regexp_extract_all(text, F.lit("`([^`]*/[^`]*)`"), F.lit(1))
+    return of.withColumns({"links": F.transform(F.regexp_extract_all(text, F.lit(C.WIKILINK), F.lit(1)), X.strip), "paths": code})
+
+
+def oldest_unfolded(entries: DataFrame, children: DataFrame, k: int, line: str = "line") -> DataFrame:
+    """The 2^k entries nearest to the end of a log that has its newest first, without those that a fold holds already.
+
+    ``children``: (entry_date, title) of all folds.
+    """
+    return entries.join(children.select("entry_date", "title").distinct(), ["entry_date", "title"], "left_anti").orderBy(F.col(line).desc()).limit(1 << k)
+
+
+def best_of_sweep(sweep: DataFrame, features: tuple[str, ...] = ("first", "second", "mean")) -> DataFrame:
+    """The row of a sweep with the largest product of precision and recall; of equals the first, by feature, then step."""
+    turn = F.array_position(F.array(*(F.lit(x) for x in features)), F.col("feature"))
+    return sweep.orderBy((F.col("precision_") * F.col("recall_")).desc(), turn, "step").limit(1)
+
+
+def sections(chunks: DataFrame, heads: DataFrame, reach: int = 2) -> DataFrame:
+    """``section`` of each chunk: its own first line if that is an H2 heading, else the last heading that starts at most ``reach``
+    characters after the chunk, else null.
+
+    ``chunks``: (page, chunk_index, pos, raw_text); ``heads``: (page, start, heading). Both are laid on one line of positions, so this is a sort by
+    page and no join; a page's rows are what one task must order.
+    """
+    opening = F.substring_index(X.strip(F.col("raw_text")), "\n", 1)
+    marks = heads.select("page", (F.col("start") - reach).alias("_at"), F.lit(0).alias("_kind"), F.col("start").alias("_start"), "heading")
+    rows = chunks.withColumns({"_at": F.col("pos"), "_kind": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
+    w = W.partitionBy("page").orderBy("_at", "_kind", "_start").rowsBetween(W.unboundedPreceding, 0)
+    inherited = F.last("heading", ignorenulls=True).over(w)
+    own = F.when(opening.startswith("## "), opening)
+    return rows.withColumn("section", F.coalesce(own, inherited)).filter("_kind = 1").drop("_at", "_kind", "_start", "heading")
+
+
+def window_costs(chunks: DataFrame) -> DataFrame:
+    """For each page with a returned chunk, ``distance`` from an answer chunk to the nearest returned one, ``same_section`` where some
+    answer shares a section with a returned chunk, and the characters that all other chunks of the returned ones' sections would add.
+
+    ``chunks``: (page, chunk_index, section, raw_text, returned, answer). No heading is a section too.
+    """
+    by_index, by_section = W.partitionBy("page").orderBy("chunk_index"), W.partitionBy("page", "section")
+    mine = F.when(F.col("returned"), F.col("chunk_index"))
+    before = F.last(mine, ignorenulls=True).over(by_index.rowsBetween(W.unboundedPreceding, 0))
+    after = F.first(mine, ignorenulls=True).over(by_index.rowsBetween(0, W.unboundedFollowing))
+    near = F.least(F.col("chunk_index") - before, after - F.col("chunk_index"))
+    seen = chunks.withColumns({"_near": near, "_shared": F.max("returned").over(by_section)})
+    extra = F.sum(F.when(F.col("_shared") & ~F.col("returned"), F.length("raw_text")).otherwise(0))
+    answers = F.max(F.when(F.col("answer"), F.col("_shared")))
+    return seen.groupBy("page").agg(F.max("returned").alias("_any"), F.min(F.when(F.col("answer"), F.col("_near"))).alias("distance"), answers.alias("same_section"), extra.cast("long").alias("extra_section")).filter("_any").drop("_any")
+
+
+def run_diff(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Two runs (query_id, rank, labels) side by side: ``new`` or ``gone`` where only one has the query, ``same`` where rank and
+    labels agree (missing ones too), else ``changed``."""
+    n = new.select("query_id", F.col("rank").alias("new_rank"), F.col("labels").alias("new_labels"), F.lit(1).alias("_n"))
+    o = old.select("query_id", F.col("rank").alias("old_rank"), F.col("labels").alias("old_labels"), F.lit(1).alias("_o"))
+    same = F.col("new_rank").eqNullSafe(F.col("old_rank")) & F.col("new_labels").eqNullSafe(F.col("old_labels"))
+    state = F.when(F.col("_o").isNull(), "new").when(F.col("_n").isNull(), "gone").when(same, "same").otherwise("changed")
+    return n.join(o, "query_id", "full_outer").withColumn("state", state).drop("_n", "_o")
+
+
+def judge_summary(verdicts: DataFrame) -> DataFrame:
+    """How often each relation was found, and its mean time. ``verdicts``: (relation, seconds)."""
+    return verdicts.groupBy(F.coalesce("relation", F.lit("none")).alias("relation")).agg(F.count("*").alias("pairs"), F.avg("seconds").alias("mean_seconds"))
+
+
 def keep_last(log: DataFrame, order: list[str], rows: int = C.DEFAULTS.log_keep) -> DataFrame:
     """The log's last rows after rotation."""
     return log.orderBy(*(F.col(c).desc() for c in order)).limit(rows)

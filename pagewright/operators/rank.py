@@ -71,14 +71,14 @@ def dense_fill(pool: DataFrame, models: list[tuple[DataFrame, DataFrame]], live:
     ``pool``: (query_id, chunk_id), the sparse hits. ``models``: for each its query vectors (query_id, vector) and its indexed chunks (item_id,
     input_hash, vector), one row a chunk. ``live``: (chunk_id, input_hash) of the chunks as they are now; an indexed chunk with another hash
     is stale and stays out before places are counted. A query gets ``k`` less its hits; one without hits, or with ``k`` or more, gets none.
-    Of a model's ``k`` nearest at most the hits are in the pool already, so those left are enough.
+    Of chunks that are equally near the larger id comes first (L03). Of a model's ``k`` nearest at most the hits are in the pool already, so those left are enough.
     """
     have = pool.select("query_id", "chunk_id").distinct()
     need = have.groupBy("query_id").agg((F.lit(k) - F.count("*")).alias("need")).filter("need > 0")
     lists = None
     for order, (queries, items) in enumerate(models):
         fresh = items.join(small(live.select(F.col("chunk_id").alias("item_id"), "input_hash").distinct()), ["item_id", "input_hash"], "left_semi")
-        part = nearest(queries.join(need, "query_id", "left_semi"), fresh, k).withColumnRenamed("item_id", "chunk_id").join(have, ["query_id", "chunk_id"], "left_anti")
+        part = nearest(queries.join(need, "query_id", "left_semi"), fresh, k, last_first=True).withColumnRenamed("item_id", "chunk_id").join(have, ["query_id", "chunk_id"], "left_anti")
         again = W.partitionBy("query_id").orderBy("place")
         part = part.select("query_id", "chunk_id", F.row_number().over(again).alias("place"), F.lit(order).alias("model_order"))
         lists = part if lists is None else lists.unionByName(part)

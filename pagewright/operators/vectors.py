@@ -33,11 +33,12 @@ def mean_pool(rows: DataFrame, key: str, vector: str = "vector", unit: bool = Tr
     return pooled.withColumn("vector", F.when(length > 0, F.transform("vector", lambda x: x / length)).otherwise(F.col("vector"))) if unit else pooled
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+def nearest(queries: DataFrame, items: DataFrame, k: int, last_first: bool = False) -> DataFrame:
     """The ``k`` items with the largest cosine to each query, exact: ``query_id, item_id, cosine``.
 
     Queries are dealt to blocks and held a block at a time against Arrow batches of all items, so there is no row for each pair: a
-    batch gives at most ``k`` rows a query, and these meet in a top-k aggregation. Ties go to the smaller item_id.
+    batch gives at most ``k`` rows a query, and these meet in a top-k aggregation. Ties go to the smaller item_id, or to
+    the larger one with ``last_first`` (L03).
     """
     blocks = max(1, -(-queries.count() // BLOCK))
     kind = items.schema["item_id"].dataType.simpleString()
@@ -57,7 +58,8 @@ def nearest(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 cos = np.round(mine @ x.T, 12)
                 item = pdf["item_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(item, cos.shape), -cos), axis=1)[:, :k]
+                turn = np.argsort(np.argsort(item, kind="stable"), kind="stable")
+                order = np.lexsort((np.broadcast_to(-turn if last_first else turn, cos.shape), -cos), axis=1)[:, :k]
                 yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "item_id": item[order].ravel(), "cosine": np.take_along_axis(cos, order, 1).ravel()})
 
         parts.append(items.select("item_id", "vector").mapInPandas(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {kind}, cosine double"))
@@ -68,7 +70,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
         out = out.unionByName(p)
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("query_id").orderBy(F.col("cosine").desc(), "item_id")
+    w = W.partitionBy("query_id").orderBy(F.col("cosine").desc(), F.col("item_id").desc() if last_first else "item_id")
     return out.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= k)
 
 

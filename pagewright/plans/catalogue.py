@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.plans import evaluation, pages, search
+from pagewright.plans import evaluation, pages, search, upkeep
 
-_MODULES = (search, pages, evaluation)
+_MODULES = (search, pages, evaluation, upkeep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -153,10 +153,7 @@ def cache_merge(s, d):
 def neighbour_passages(s, d):
     """A chunk with its neighbours, only where the index is adjacent."""
     lines = S.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "line")).filter("(doc_id + idx) % 5 <> 0")
-    w = W.partitionBy("doc_id").orderBy("idx")
-    before, after = F.lag(F.struct("idx", "line")).over(w), F.lead(F.struct("idx", "line")).over(w)
-    got = lines.withColumns({"before": F.when(before["idx"] == F.col("idx") - 1, before["line"]), "after": F.when(after["idx"] == F.col("idx") + 1, after["line"])})
-    return got.select("doc_id", "idx", F.length(F.concat_ws("\n", "before", "line", "after")).alias("size"))
+    return K.neighbours(lines, "doc_id", "idx", "line").select("doc_id", "idx", F.length("passage").alias("size"))
 
 
 HREF = "regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -459,6 +460,12 @@ def seed_pair_matching(s, d):
     return disjoint_pairs(seed_pool(s, d), C.DEFAULTS.seed_pairs).select("a", "b")
 
 
+def nearest_sides(queries: DataFrame, sides: dict[str, DataFrame]) -> DataFrame:
+    """The nearest item of each side: ``query_id, side, item_id, cosine``."""
+    found = [V.nearest(queries, items, 1).select("query_id", F.lit(side).alias("side"), "item_id", "cosine") for side, items in sides.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("nearest_chunk", f"WITH {POOL_SQL}, c AS (SELECT label AS query_id, vec_id AS item_id, {_cos('m', 'v')} AS c FROM means CROSS JOIN (SELECT vec_id, v FROM e)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, item_id) AS t FROM c) SELECT query_id, item_id, round(c, 6) AS cosine FROM r WHERE t = 1")
 def nearest_chunk(s, d):
     """J20."""

@@ -31,8 +31,17 @@ def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_gold(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A gold set as one JSON array."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """A gold set as one JSON array; ``schema`` is one of ``GOLD_SHAPES`` by name, or a schema."""
+    return spark.read.schema(GOLD_SHAPES.get(schema, schema)).json(path, multiLine=True)
+
+
+#: Schemas of the four shapes of gold sets: retrieval with answer marks, several needed pages, prompts of the gate, answer places.
+GOLD_SHAPES = {
+    "retrieval": "q string, gold array<string>, current array<string>, stale array<string>, type string",
+    "multi": "id string, q string, required array<string>",
+    "recall": "id string, prompt string, kind string, expected_pages array<string>",
+    "neighbours": "q string, gold array<string>, current array<string>",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

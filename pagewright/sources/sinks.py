@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,23 @@ def proposals_report(rows: Iterable[Row], title: str) -> str:
 def pointers_text(rows: Iterable[Row]) -> str:
     """What a prompt gate injects."""
     return "\n".join(f"[{r['page']}] {r['excerpt']}" for r in rows)
+
+
+def write_stamp(spark: SparkSession, root: str, job: str, day: str) -> None:
+    """That a job ended on a day, as a row appended to a table of stamps."""
+    spark.createDataFrame([(job, day)], "job string, day string").coalesce(1).write.mode("append").json(root)
+
+
+def last_stamps(spark: SparkSession, root: str) -> DataFrame:
+    """Each job's last day."""
+    return spark.read.schema("job string, day string").json(root).groupBy("job").agg(F.max("day").alias("day"))
+
+
+def dump_pairs(pairs: DataFrame, path: str, day: str) -> None:
+    """The judged pairs of a scan with its day, for a judge elsewhere."""
+    pairs.withColumn("day", F.lit(day)).write.mode("overwrite").json(path)
+
+
+def save_run(rows: DataFrame, path: str) -> None:
+    """The rows of an evaluation, one JSON object each, for a later comparison."""
+    rows.write.mode("overwrite").json(path)
