@@ -24,6 +24,8 @@ from pagewright.llm.fm_index import FMIndex
 WINDOW, GRAM = 20, 8
 #: Words that one FM-index holds, but for the last anchor's segments.
 SHARD_WORDS = 1_000_000
+#: Anchors, 8 bytes each, that are broadcast; with more, they meet the segments by shuffle.
+FEW_ANCHORS = 1_000_000
 #: Different segments of one anchor that stay together; beyond, its windows are dealt apart.
 MOST_SEGMENTS = 20_000
 
@@ -257,8 +259,9 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False,
     rows = _rows(docs.select("doc_id", "text"))
     classes = _classes(_occurrences(rows, window))
     firsts = classes.filter("not repeat")
-    hot = firsts.groupBy("anchor").count().filter(F.col("count") > most_segments).select("anchor", F.lit(True).alias("hot"))
-    wanted = firsts.join(hot, "anchor", "left").select("anchor", "rid", "place", F.coalesce("hot", F.lit(False)).alias("hot"))
+    hot = save(firsts.groupBy("anchor").count().filter(F.col("count") > most_segments).select("anchor", F.lit(True).alias("hot")), "hot")
+    few = hot.limit(FEW_ANCHORS + 1).count() <= FEW_ANCHORS  # then the rows of an anchor need not meet in one task
+    wanted = firsts.join(F.broadcast(hot) if few else hot, "anchor", "left").select("anchor", "rid", "place", F.coalesce("hot", F.lit(False)).alias("hot"))
     found = _searched(_texts(rows, wanted, window), window, shard_words)
     places = classes.filter("repeat").select("rid", "place").unionByName(found).groupBy("rid").agg(F.collect_list("place").alias("places"))
     kind = docs.schema["doc_id"].dataType.simpleString()
