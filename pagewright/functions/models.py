@@ -147,6 +147,22 @@ class OverlapScorer:
         return [len(q & t) / len(q) if q else 0.0 for q, t in words]
 
 
+def usable(embedder: Embedder, listed: Sequence[str], answered: str | None = None) -> str:
+    """X11: why a scan must not start with this embedder, or an empty text: it is out of reach, its model is not listed, another model
+    answers in its place (``answered``), or a trial text gets no vector."""
+    if not embedder.healthcheck():
+        return "out of reach"
+    if embedder.model not in listed:
+        return "model not listed"
+    if answered is not None and answered != embedder.model:
+        return f"answered by {answered}"
+    try:
+        trial = embedder.embed([embedder.document_prefix + "trial"])
+    except Exception:
+        trial = []
+    return "" if len(trial) == 1 and trial[0] is not None and any(trial[0]) else "no vector for a trial text"
+
+
 def pick_backend(*backends: Embedder) -> Embedder | None:
     """The first that is healthy."""
     return next((b for b in backends if b.healthcheck()), None)

@@ -33,6 +33,15 @@ def mean_pool(rows: DataFrame, key: str, vector: str = "vector", unit: bool = Tr
     return pooled.withColumn("vector", F.when(length > 0, F.transform("vector", lambda x: x / length)).otherwise(F.col("vector"))) if unit else pooled
 
 
+def cached(candidates: DataFrame, cache: DataFrame, model: str, scheme: str) -> DataFrame:
+    """Candidates (input_hash, ...) with the ``vector`` that the cache (model, scheme, input_hash, vector) has for their very text, null on a miss.
+
+    A text's vector is stored once; of repeated rows any one is taken. The misses are what ``models.embed_missing`` has to embed.
+    """
+    mine = cache.filter((F.col("model") == model) & (F.col("scheme") == scheme)).select("input_hash", "vector").dropDuplicates(["input_hash"])
+    return candidates.join(mine, "input_hash", "left")
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int, last_first: bool = False) -> DataFrame:
     """The ``k`` items with the largest cosine to each query, exact: ``query_id, item_id, cosine``.
 

@@ -9,14 +9,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright import config as C
+from pagewright.functions import text as X
 from pagewright.operators import chunking as K
 from pagewright.operators import evaluate as E
+from pagewright.operators import frontmatter as FM
 from pagewright.operators import lint as L
 from pagewright.operators import scan as N
+from pagewright.operators import vectors as VE
 from pagewright.plans import evaluation as V
 from pagewright.plans import pages as G
 from pagewright.plans import search as P
 from pagewright.sources import corpus as S
+from pagewright.sources import sinks
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -227,3 +231,42 @@ def lint_report(s, d):
 def idea_nearest_sides(s, d):
     """Each idea's nearest chunk and nearest entry of the ledger, which a class of vectors stands for."""
     return P.nearest_sides(P.label_queries(s, d), {"chunk": P.vectors(s, d).filter("item_id % 5 <> 0"), "ledger": P.vectors(s, d).filter("item_id % 5 = 0")}).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("cache_lookup", "SELECT doc_id, doc_id % 5 NOT IN (0, 1) AND vec_id IS NOT NULL AND label % 3 <> 0 AS hit, round(CASE WHEN doc_id % 5 NOT IN (0, 1) AND label % 3 <> 0 THEN CAST(embedding[1] AS DOUBLE) END, 6) AS first FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
+def cache_lookup(s, d):
+    """Stored vectors by model, scheme and text; a class of texts has changed, one is of another scheme, some have another model."""
+    of = lambda c: X.text_hash(c.cast("string"))
+    k = F.col("doc_id")
+    wanted = S.table(s, d, "documents").select("doc_id", of(F.when(k % 5 == 0, -k - 1).otherwise(k)).alias("input_hash"))
+    v = F.col("vec_id")
+    cache = S.table(s, d, "embeddings").select(F.when(F.col("label") % 3 == 0, "other").otherwise("m").alias("model"), F.when(v % 5 == 1, "v6").otherwise("v7").alias("scheme"), of(v).alias("input_hash"), F.col("embedding").alias("vector"))
+    got = VE.cached(wanted, cache, "m", "v7")
+    return got.select("doc_id", F.col("vector").isNotNull().alias("hit"), F.round(F.element_at("vector", 1).cast("double"), 6).alias("first"))
+
+
+@query("retrieval_texts", "SELECT item_id, substr(regexp_replace(trim('  dell-' || replace(text, ' the ', ' l-') || ' '), '(?i)\\b(l|un|dell|all|nell|dall|sull|quell|quest|c|d|s|m|t|v|n|po|qual|com|dov|anch)-([\\p{L}\\p{N}_])', '\\1 \\2', 'g'), 1, 600) AS query_text FROM benchmark")
+def retrieval_texts(s, d):
+    """What the gate asks for a prompt; articles become elisions written with a hyphen."""
+    prompt = F.concat(F.lit("  dell-"), F.replace(F.col("text"), F.lit(" the "), F.lit(" l-")), F.lit(" "))
+    return S.table(s, d, "benchmark").select("item_id", X.query_text(prompt).alias("query_text"))
+
+
+@query("first_headings", "SELECT doc_id, trim(regexp_extract(regexp_replace(text, '\\n([A-M])', chr(10) || '##  \\1', 'g'), '(?m)^#+[ \\t]*(.*)$', 1)) AS section FROM documents")
+def first_headings(s, d):
+    """P20: the section that a pointer names; lines of a class of initials become headings."""
+    return S.table(s, d, "documents").select("doc_id", X.first_heading(F.regexp_replace("text", "\n([A-M])", "\n##  $1")).alias("section"))
+
+
+def maintenance_round(pages: DataFrame, missing: dict[str, str], stamps: str, day: str) -> tuple[DataFrame, DataFrame]:
+    """One round over pages (page_path, raw): missing keys are put in, then fields, types and links are linted, then the round is stamped.
+
+    ``missing`` names the columns that hold the values of missing keys. Returns the changed pages and the findings on the pages after the change.
+    """
+    fixed = FM.with_keys(pages, missing)
+    now = pages.select("page_path", "raw").join(fixed.select(F.col("path").alias("page_path"), F.col("raw").alias("new_raw")), "page_path", "left").select("page_path", F.coalesce("new_raw", "raw").alias("raw"))
+    lacking = now.withColumn("missing", F.array_join(L.missing_keys(X.front_map(F.col("raw"))), ",")).filter("missing <> ''")
+    dead = L.dead_links(L.wikilinks(now), L.link_targets(now))
+    found = L.finding(lacking, "missing_frontmatter", "page_path", "missing").unionByName(L.finding(dead, "dead_link", "first_referrer", "target"))
+    sinks.write_stamp(pages.sparkSession, stamps, "maintenance", day)
+    return fixed, found

@@ -13,6 +13,7 @@ from pagewright.operators import chunking as K
 from pagewright.operators import evaluate as E
 from pagewright.operators import scan as N
 from pagewright.operators import vectors as V
+from pagewright.plans.upkeep import maintenance_round
 from pagewright.sources import corpus as S
 from pagewright.sources import sinks
 
@@ -107,6 +108,24 @@ def test_models():
     assert M.OverlapScorer().score([("a b", "B c"), ("", "x")]) == [0.5, 0.0]
 
 
+def test_usable_embedder():
+    e = M.HashEmbedder(4, "m")
+    assert [M.usable(e, ["m"], "m"), M.usable(e, ["n"]), M.usable(e, ["m"], "n")] == ["", "model not listed", "answered by n"]
+    e.healthcheck = lambda: False
+    assert M.usable(e, ["m"]) == "out of reach"
+    e.healthcheck, e.embed = (lambda: True), (lambda texts: [None])
+    assert M.usable(e, ["m"]) == "no vector for a trial text"
+
+
+def test_maintenance_round(spark, tmp_path):
+    rows = [("a.md", "---\nname: a\ndescription: d\n---\nsee [[b]] and [[gone]]", "entity"), ("b.md", "---\nname: b\ndescription: d\ntype: source\n---\n", None), ("c.md", "---\nname: c\ntype: meta\n---\n", None)]
+    pages = spark.createDataFrame(rows, "page_path string, raw string, type string")
+    fixed, found = maintenance_round(pages, {"type": "type"}, str(tmp_path / "s"), "2024-05-01")
+    assert [(r.path, "type: entity" in r.raw) for r in fixed.collect()] == [("a.md", True)]
+    assert {tuple(r) for r in found.collect()} == {("missing_frontmatter", "c.md", "description"), ("dead_link", "a.md", "gone")}
+    assert sinks.last_stamps(spark, str(tmp_path / "s")).first().day == "2024-05-01"
+
+
 def test_settings_and_sinks(spark, tmp_path):
     path = tmp_path / "t.json"
     path.write_text(json.dumps({"band_error": 0.95}))
