@@ -395,8 +395,10 @@ def test_fm_index():
         assert np.array_equal(index.earlier(window), want)
 
 
-@pytest.mark.parametrize("seed, options", [(16, {}), (17, {"shard_words": 400, "most_segments": 3})])
-def test_substring_dedup(spark, seed, options):
+@pytest.mark.parametrize("seed, options, few", [(16, {}, None), (17, {"shard_words": 400, "most_segments": 3}, None), (18, {"shard_words": 400, "most_segments": 3}, 0)])
+def test_substring_dedup(spark, monkeypatch, seed, options, few):
+    if few is not None:
+        monkeypatch.setattr("pagewright.llm.substring_dedup.FEW_ANCHORS", few)
     docs = odd_texts(WORDS, 120, seed)
     seen, want = set(), []
     key = lambda x: (x[0] is not None, x[0] or 0)
