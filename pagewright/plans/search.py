@@ -333,11 +333,15 @@ def links_and_ledger(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return v.select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 7 + 3) % n).alias("dst")), v.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
 
 
+def either_way(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs ``a <= b`` of what stands either way."""
+    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+
 def unlinked(p: DataFrame, links: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Pairs without a link either way, and not in the ledger of earlier ideas."""
-    both = links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    out = p.join(both, ["a", "b"], "left_anti")
-    return out if ledger is None else out.join(ledger.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+    out = p.join(either_way(links, "src", "dst").distinct(), ["a", "b"], "left_anti")
+    return out if ledger is None else out.join(either_way(ledger, "a", "b").distinct(), ["a", "b"], "left_anti")
 
 
 @query("missing_links", f"WITH {PAIR_SQL}, {LINK_SQL} SELECT a, b, round(c, 6) AS cosine FROM near WHERE NOT EXISTS (SELECT 1 FROM links WHERE (src = a AND dst = b) OR (src = b AND dst = a))")
@@ -402,15 +406,11 @@ s AS (SELECT list(c ORDER BY c) AS cs FROM un), cut AS (SELECT cs[CAST(floor(0.5
 def seed_pool(s: SparkSession, d: str, lo: int = 50, hi: int = 90, focus: int | None = None) -> DataFrame:
     """of all unlinked pairs of seed pages (with the ``focus`` page, if given), those whose cosine lies between two percentiles of them.
 
-    The percentiles are of all these pairs, so they are all made, once, and saved: seeds are pages, which a scan bounds (S08).
+    The percentiles are of all these pairs, so each is looked at, but none is saved (``vectors.pair_band``).
     """
     v = vectors(s, d).join(B.small(seed_pages(s, d).select(F.col("vec_id").alias("item_id"))), "item_id", "left_semi")
-    pairs = unlinked(V.similar_pairs(v, -1.1), *links_and_ledger(s, d)).withColumn("cosine", F.round("cosine", 9))
-    if focus is not None:
-        pairs = pairs.filter((F.col("a") == focus) | (F.col("b") == focus))
-    pool = save(pairs, "seed-pairs")
-    low, high = percentile_cuts(pool, "cosine", [lo, hi])
-    return pool.filter(F.col("cosine").between(low, high)) if low is not None else pool
+    links, ledger = links_and_ledger(s, d)
+    return V.pair_band(v, either_way(links, "src", "dst").unionByName(either_way(ledger, "a", "b")).distinct(), lo, hi, focus)
 
 
 @query("seed_pair_band", f"WITH {BAND_SQL} SELECT a, b FROM un, cut WHERE c >= lo AND c <= hi")

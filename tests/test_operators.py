@@ -265,6 +265,51 @@ def test_matching_is_the_greedy_walk(spark, focus):
     assert sorted((x.a, x.b) for x in got) == sorted(want[:9])
 
 
+@pytest.mark.parametrize("focus", [None, 7, 1000])
+@pytest.mark.parametrize("block", [9, 2_000])
+def test_band_of_pairs_is_exact(spark, focus, block):
+    """Copies, a zero vector and missing ones (last, as in SQL), pairs left out either way and with strangers, blocks of all sizes."""
+    r = random.Random(5)
+    vectors = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(50)]
+    vectors += [(100 + i, vectors[i % 3][1]) for i in range(12)] + [(200, [0.0] * 4), (201, None), (202, None)]
+    r.shuffle(vectors)
+    ids = sorted(i for i, _ in vectors)
+    skip = {tuple(sorted(r.sample(ids, 2))) for _ in range(120)}
+    at = dict(vectors)
+
+    def cosine(a, b):  # the last two sort last
+        x, y = at[a], at[b]
+        if x is None or y is None:
+            return 9.0
+        n = math.dist(x, [0] * 4) * math.dist(y, [0] * 4)
+        return round(sum(p * q for p, q in zip(x, y)) / n, 9) if n else 8.0
+
+    all_pairs = {(a, b): cosine(a, b) for a in ids for b in ids if a < b and (a, b) not in skip and (focus is None or focus in (a, b))}
+    cs = sorted(all_pairs.values())
+    df = spark.createDataFrame(vectors, "item_id long, vector array<double>").repartition(5)
+    left_out = spark.createDataFrame([*skip, (1, 999), (-5, 3), (None, 4)], "a long, b long")
+    for lo, hi in ((50, 90), (0, 94), (0, 100), (20, 20)):
+        low, high = (cs[int(p / 100 * (len(cs) - 1))] if cs else 9.0 for p in (lo, hi))
+        want = sorted((*k, None if c == 8 else c) for k, c in all_pairs.items() if low <= c <= high and high != 9)
+        got = V.pair_band(df, left_out, lo, hi, focus, block).collect()
+        assert sorted((x.a, x.b, None if math.isnan(x.cosine) else round(x.cosine, 9)) for x in got) == want
+
+
+@pytest.mark.parametrize("name", ["seed_pair_band"])
+def test_seed_pairs_are_not_saved(spark, name):
+    """What goes to disk grows with the pages, not with their pairs."""
+    import os
+
+    from pagewright.plans import catalogue
+
+    base = spark.conf.get("spark.checkpoint.dir")
+    folder = base.removeprefix("file://")
+    old = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    saved = [spark.read.parquet(f"{base}/{x}").count() for x in set(os.listdir(folder)) - old]
+    assert saved and sum(saved) <= 500  # vectors; there are about 64,000 pairs
+
+
 def test_index_is_stored_or_missing(spark, tmp_path):
     chunks = spark.createDataFrame([(1, "apple pear"), (2, "apple apple plum"), (3, None)], "chunk_id long, text string")
     asked = spark.createDataFrame([(1, "plum apple"), (2, "nothing")], "query_id long, q string")
