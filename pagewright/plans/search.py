@@ -425,27 +425,32 @@ def seed_pair_focus(s, d):
     return seed_pool(s, d, focus=1).select("a", "b")
 
 
+#: Pairs of a greedy walk that the driver takes at a time.
+DRAWN = 1_000
+
+
 def disjoint_pairs(pool: DataFrame, n: int, seed: int = 0, focus: int | None = None) -> DataFrame:
     """Greedy matching in a drawn order: each item once but for ``focus``, the first ``n`` pairs.
 
-    A pair that comes first among all pairs of both its items is in the matching; with these and their items gone, the
-    same holds of what is left. So rounds of joins give the very matching of one greedy walk.
+    The walk goes over the pairs that come first, as many as ``DRAWN`` allows; if these do not give ``n``, over the first of the pairs
+    whose items are all still free. Those left out can not be taken any more, so this is the very matching of one greedy walk, and
+    no pair of ``pool`` is saved. Each turn reads ``pool`` again; it has one of the ``n`` pairs at least.
     """
     draw = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("a").cast("string"), F.col("b").cast("string")))
-    left = pool.select("a", "b", "cosine", F.struct(draw.alias("draw"), "a", "b").alias("turn"))
-    ends = lambda rows: rows.select(F.explode(F.array("a", "b")).alias("item"), "turn").filter(F.lit(focus is None) | (F.col("item") != F.lit(focus)))
-    found = None
-    left = save(left, "left-pairs")
-    while left.take(1):
-        first = ends(left).groupBy("item").agg(F.min("turn").alias("first"))
-        wins = first.groupBy(F.col("first").alias("turn")).agg(F.count("*").alias("ends"))
-        need = 2 - (F.lit(0) if focus is None else ((F.col("turn.a") == focus) | (F.col("turn.b") == focus)).cast("int"))
-        won = save(left.join(wins.filter(F.col("ends") == need).select("turn"), "turn", "left_semi"), "won-pairs")
-        found = won if found is None else found.unionByName(won)
-        gone = ends(won).select("item").distinct()
-        left = save(left.join(gone, left["a"] == gone["item"], "left_anti").join(gone, left["b"] == gone["item"], "left_anti"), "left-pairs")
-    found = left if found is None else found
-    return found.orderBy("turn").limit(n).select("a", "b", "cosine")
+    left = pool.select("a", "b", "cosine")
+    used: set = set()
+    found: list = []
+    while len(found) < n:
+        first = left.withColumn("draw", draw).orderBy("draw", "a", "b").limit(DRAWN).collect()
+        for r in first:
+            if len(found) < n and not {r.a, r.b} & used:
+                found.append((r.a, r.b, r.cosine))
+                used |= {r.a, r.b} - {focus}
+        if len(first) < DRAWN:
+            break
+        gone = B.small(pool.sparkSession.createDataFrame([(x,) for x in used], pool.select(F.col("a").alias("item")).schema))
+        left = pool.select("a", "b", "cosine").join(gone, F.col("a") == gone["item"], "left_anti").join(gone, F.col("b") == gone["item"], "left_anti")
+    return pool.sparkSession.createDataFrame(found, left.schema)
 
 
 @query(

@@ -295,7 +295,7 @@ def test_band_of_pairs_is_exact(spark, focus, block):
         assert sorted((x.a, x.b, None if math.isnan(x.cosine) else round(x.cosine, 9)) for x in got) == want
 
 
-@pytest.mark.parametrize("name", ["seed_pair_band"])
+@pytest.mark.parametrize("name", ["seed_pair_band", "seed_pair_matching"])
 def test_seed_pairs_are_not_saved(spark, name):
     """What goes to disk grows with the pages, not with their pairs."""
     import os
@@ -310,6 +310,26 @@ def test_seed_pairs_are_not_saved(spark, name):
     assert saved and sum(saved) <= 500  # vectors; there are about 64,000 pairs
 
 
+@pytest.mark.parametrize("focus", [None, 3])
+def test_matching_in_several_turns(spark, focus, monkeypatch):
+    import hashlib
+
+    from pagewright.plans import search
+
+    r = random.Random(9)
+    pairs = sorted({tuple(sorted(r.sample(range(30), 2))) for _ in range(150)} | {(3, x) for x in range(4, 20)})
+    used, want = set(), []
+    for a, b in sorted(pairs, key=lambda p: hashlib.md5(f"0-{p[0]}-{p[1]}".encode()).hexdigest()):
+        if not {a, b} & used:
+            want.append((a, b))
+            used |= {a, b} - {focus}
+    pool = spark.createDataFrame([(a, b, 0.5) for a, b in pairs], "a long, b long, cosine double")
+    for drawn in (1, 4):
+        monkeypatch.setattr(search, "DRAWN", drawn)
+        for n in (0, 3, 100):
+            assert [(x.a, x.b) for x in search.disjoint_pairs(pool, n, focus=focus).collect()] == want[:n]
+
+
 def test_index_is_stored_or_missing(spark, tmp_path):
     chunks = spark.createDataFrame([(1, "apple pear"), (2, "apple apple plum"), (3, None)], "chunk_id long, text string")
     asked = spark.createDataFrame([(1, "plum apple"), (2, "nothing")], "query_id long, q string")
