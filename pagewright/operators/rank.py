@@ -11,6 +11,28 @@ from pagewright.operators.bm25 import small
 from pagewright.operators.vectors import nearest
 
 
+def z_scores(cosines: DataFrame) -> DataFrame:
+    """``z`` of each cosine in its query's pool for its model, summed in order of arrival (``ord`` if given, else by chunk).
+
+    Opposite z-scores cancel to 0 or to a residue of some 1e-17, by the order in which mean and deviation are summed, and
+    :func:`compact_score` asks for 0. So the order is fixed, not that of partitions, and each step is that of the SQL's engine.
+    """
+    arrival = [c for c in ("ord", "chunk_id") if c in cosines.columns]
+    rows = F.array_sort(F.collect_list(F.struct(*arrival, *[c for c in cosines.columns if c not in (*arrival, "query_id", "model")])))
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "sum", "mean", "squares")])
+
+    def add(s: Column, row: Column) -> Column:
+        x, n = row["cosine"], s["n"] + F.lit(1.0)
+        mean = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), (s["sum"] + x).alias("sum"), mean.alias("mean"), (s["squares"] + (x - mean) * (x - s["mean"])).alias("squares"))
+
+    pools = cosines.groupBy("query_id", "model").agg(rows.alias("rows")).withColumn("s", F.aggregate("rows", start, add))
+    deviation = F.sqrt(F.col("s.squares") / F.col("s.n"))
+    pools = pools.select("query_id", "model", "rows", (F.col("s.sum") / F.col("s.n")).alias("avg"), F.when(deviation == 0, F.lit(1.0)).otherwise(deviation).alias("dev"))
+    each = pools.select("query_id", "model", "avg", "dev", F.inline("rows"))
+    return each.withColumn("z", (F.col("cosine") - F.col("avg")) / F.col("dev")).drop("avg", "dev")
+
+
 def fuse(candidates: DataFrame, cosines: DataFrame) -> DataFrame:
     """``rerank_score``, ``rerank_source`` and the raw ``cosine`` map of each (query_id, chunk_id).
 
@@ -18,11 +40,8 @@ def fuse(candidates: DataFrame, cosines: DataFrame) -> DataFrame:
     several, the mean of z-scores over the models present (population deviation, 0 taken as 1). A
     candidate without a vector keeps 0 and says so.
     """
-    pool = W.partitionBy("query_id", "model")
-    deviation = F.stddev_pop("cosine").over(pool)
-    z = (F.col("cosine") - F.avg("cosine").over(pool)) / F.when(deviation == 0, F.lit(1.0)).otherwise(deviation)
     models = F.size(F.collect_set("model").over(W.partitionBy("query_id")))
-    scored = cosines.withColumn("z", z).withColumn("models", models)
+    scored = z_scores(cosines).withColumn("models", models)
     each = scored.groupBy("query_id", "chunk_id").agg(F.when(F.max("models") == 1, F.avg("cosine")).otherwise(F.avg("z")).alias("fused"), F.map_from_entries(F.collect_list(F.struct("model", F.round("cosine", 4)))).alias("cosine"))
     joined = candidates.join(each, ["query_id", "chunk_id"], "left")
     return joined.withColumn("rerank_source", F.when(F.col("fused").isNull(), "missing-chunk").otherwise("cosine")).withColumn("rerank_score", F.coalesce("fused", F.lit(0.0))).drop("fused")

@@ -179,7 +179,7 @@ def cosines(s: SparkSession, d: str, cand: DataFrame, models: tuple[str, ...] =
     for m in models:
         v = vectors(s, d, *half[m])
         one = cand.join(v.select(F.col("item_id").alias("chunk_id"), F.col("vector").alias("x")), "chunk_id").join(B.small(v.select(F.col("item_id").alias("query_id"), F.col("vector").alias("y"))), "query_id")
-        one = one.select("query_id", "chunk_id", F.lit(m).alias("model"), V.cosine(F.col("x"), F.col("y")).alias("cosine"))
+        one = one.select("query_id", "chunk_id", "ord", F.lit(m).alias("model"), V.cosine(F.col("x"), F.col("y")).alias("cosine"))
         out = one if out is None else out.unionByName(one)
     return out
 

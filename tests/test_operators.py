@@ -330,6 +330,25 @@ def test_matching_in_several_turns(spark, focus, monkeypatch):
             assert [(x.a, x.b) for x in search.disjoint_pairs(pool, n, focus=focus).collect()] == want[:n]
 
 
+def test_fused_scores_cancel_as_in_sql(spark):
+    """Two vectors in a pool have opposite z-scores; whether they cancel to 0 or leave a residue decides the compact score. Rows come in any order."""
+    import duckdb
+
+    r = random.Random(3)
+    pools = [(q, q * 100 + k, k, r.uniform(-0.4, 0.4), r.uniform(-0.4, 0.4)) for q in range(300) for k in range(2)]
+    duck = duckdb.connect(config={"threads": 1})
+    duck.execute("create table c (q bigint, c bigint, ord bigint, a double, b double)")
+    duck.executemany("insert into c values (?, ?, ?, ?, ?)", pools)
+    z = lambda v: f"({v} - avg({v}) OVER w) / coalesce(nullif(stddev_pop({v}) OVER w, 0), 1)"
+    want = duck.execute(f"SELECT q, c, ({z('a')} + {z('b')}) / 2 FROM c WINDOW w AS (PARTITION BY q)").fetchall()
+    rows = [(q, c, o, m, x) for q, c, o, a, b in pools for m, x in (("a", a), ("b", b))]
+    r.shuffle(rows)
+    cosines = spark.createDataFrame(rows, "query_id long, chunk_id long, ord long, model string, cosine double")
+    got = R.fuse(cosines.select("query_id", "chunk_id", "ord").distinct(), cosines).collect()
+    assert len(want) == 600 and {(x.query_id, x.chunk_id, x.rerank_score) for x in got} == set(want)
+    assert 0 < sum(x.rerank_score == 0 for x in got) < sum(abs(x.rerank_score) < 1e-9 for x in got)
+
+
 def test_index_is_stored_or_missing(spark, tmp_path):
     chunks = spark.createDataFrame([(1, "apple pear"), (2, "apple apple plum"), (3, None)], "chunk_id long, text string")
     asked = spark.createDataFrame([(1, "plum apple"), (2, "nothing")], "query_id long, q string")
